@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: scheme, authority, path with parameters, query, fragment (RFC 3986, appendix B, for http and https alone)
 PARTS = r"(?is)^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -71,7 +72,7 @@ def normalize_text(url: str | None, base: str | None = None) -> str | None:
     return f"{scheme}://{a[1].lower()}{shown}{m[3] or '/'}{'?' + m[4] if m[4] else ''}"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def disallowed_address(ip: pd.Series) -> pd.Series:
     """True for every address that a crawler mustn't reach, and for what isn't an address, null and empty included."""
 

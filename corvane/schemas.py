@@ -24,13 +24,14 @@ TABLES: dict[str, str] = {
 
 PAGE_STATUSES = ("pending", "in_progress", "crawled", "failed", "skipped", "not_modified")
 
-FETCH_RESULT = T.StructType.fromDDL(
+# Records between stages, as DDL.
+FETCH_RESULT = (
     "status INT, url STRING, html STRING, etag STRING, last_modified STRING, content_length INT,"
     " not_modified BOOLEAN, error STRING"
 )
-EXTRACTED_PAGE = T.StructType.fromDDL("title STRING, text STRING, links ARRAY<STRUCT<url: STRING, anchor_text: STRING>>")
-FRONTIER_ITEM = T.StructType.fromDDL("entry_id STRING, url STRING, domain STRING, depth INT, page_id BIGINT, parent_id BIGINT")
-METRIC = T.StructType.fromDDL("ts TIMESTAMP, metric STRING, labels MAP<STRING, STRING>, value DOUBLE")
+EXTRACTED_PAGE = "title STRING, text STRING, links ARRAY<STRUCT<url: STRING, anchor_text: STRING>>"
+FRONTIER_ITEM = "entry_id STRING, url STRING, domain STRING, depth INT, page_id BIGINT, parent_id BIGINT"
+METRIC = "ts TIMESTAMP, metric STRING, labels MAP<STRING, STRING>, value DOUBLE"
 
 
 def table_schema(name: str) -> T.StructType:
