@@ -40,10 +40,9 @@ def current_pages(pages: DataFrame, *columns: str) -> DataFrame:
 
 
 def current_bodies(html_objects: DataFrame) -> DataFrame:
-    """(minio_key, html): the body stored last under each key.
+    """(minio_key, html): the body stored last under each key; copies count once.
 
-    Only key, time and a hash of the body meet in the aggregate; the bodies themselves are joined afterwards, so that
-    no row of the aggregate holds a document and superseded bodies aren't shuffled twice.
+    Superseded bodies of a key that share a task are dropped before the shuffle.
     """
     return latest(html_objects, "minio_key", "stored_at", "html")
 
