@@ -93,9 +93,16 @@ def tokenize(text: str | None, stemmed: bool = True) -> list[str]:
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) of each text; texts without a token have no rows. Repeated keys add up."""
+    """(key, term, tf) of each text; texts without a token have no rows. Repeated keys add up.
+
+    Words are exploded first, so that stop words and stems are compiled expressions, then counted with partial sums.
+    """
     folded = folded_text(df.select(key, text), text)
-    return folded.select(key, F.explode(tokens_of(F.col("_folded"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = folded.select(key, F.explode(F.regexp_extract_all("_folded", F.lit(WORD), F.lit(0))).alias("w"))
+    kept = words.where((F.length("w") >= MIN_TOKEN) & ~F.col("w").isin(STOPWORDS))
+    w = F.col("w")
+    terms = kept.select(key, F.when(w.rlike(r"^\p{Nd}"), w).otherwise(stem(w)).alias("term"))
+    return terms.where(F.length("term") >= MIN_TOKEN).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tf_weight(tf: Column) -> Column:

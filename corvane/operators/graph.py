@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.skew import heavy_keys, salted_join
+from corvane.operators.skew import SALTS, heavy_keys, salted_join
 from corvane.session import settle
 
 IN_GRAPH = ("crawled", "not_modified")
@@ -38,31 +38,35 @@ def graph_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """(id, rank) after a fixed number of rounds, summing up to 1; nodes without outlinks give to all alike.
 
-    Edges carry their share 1/outdegree and are written once, as are the ranks every few rounds, so that lineage stays
-    short and a lost executor costs little. A round is one join by source and one sum by target, combined before its
-    shuffle: a page with very many inlinks gets one row per task. A page with very many outlinks is an input row
-    count, not a group. An empty graph gives no rows.
+    Edges carry their share 1/outdegree and are written once, as are the ranks of each round, which the next one reads
+    three times: lineage stays short and a lost executor costs little. Edges lie partitioned by source, heavy sources
+    salted, so that a round moves ranks and sums, one row per page, but no edges; sums by target are combined before
+    their shuffle. An empty graph gives no rows.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
+    heavy = settle(heavy_keys(degree, "src", "deg").withColumn("_heavy", F.lit(True)))
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
-    heavy = heavy_keys(degree, "src", "deg")
-    shares = settle(salted_join(pairs, degree, "src", heavy).select("src", "dst", (F.col("times") / F.col("deg")).alias("share")))
+    salt = F.when(F.col("_heavy"), F.pmod(F.hash("dst"), F.lit(SALTS))).otherwise(0).cast("int")
+    shares = salted_join(pairs, degree, "src", heavy).join(F.broadcast(heavy), "src", "left")
+    shares = shares.select("src", salt.alias("_salt"), "dst", (F.col("times") / F.col("deg")).alias("share"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = settle(shares.repartition(parts, "src", "_salt"))
+    copies = F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
     dangling = nodes.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("ends"))
-    ranks = settle(dangling.select("id", "ends", F.lit(1.0 / n).alias("rank")))
+    ranks = settle(dangling.select("id", "ends", F.lit(1.0 / n).alias("rank")).repartition(parts, "id"))
     base = (1 - damping) / n
-    for k in range(iterations):
+    for _ in range(iterations):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        given = shares.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        offered = ranks.where(~F.col("ends")).withColumnRenamed("id", "src").join(F.broadcast(heavy), "src", "left").select("src", "rank", copies)
+        given = shares.join(offered, ["src", "_salt"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         step = ranks.select("id", "ends").join(given.withColumnRenamed("dst", "id"), "id", "left").crossJoin(F.broadcast(lost))
-        ranks = step.select("id", "ends", (base + damping * F.col("lost") / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if (k + 1) % every == 0 and k + 1 < iterations:
-            ranks = settle(ranks)
+        ranks = settle(step.select("id", "ends", (base + damping * F.col("lost") / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
     return ranks.select("id", "rank")
 
 

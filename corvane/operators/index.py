@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions.text import idf, term_counts, tf_weight
 from corvane.operators.skew import heavy_keys, salted_join
+from corvane.session import settle
 
 
 def build_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,6 +32,7 @@ def weighted_postings(postings: DataFrame, total_docs: DataFrame) -> DataFrame:
 
     Frequent terms are salted: a term may hold a large part of all postings.
     """
+    postings = settle(postings)
     freq = document_frequencies(postings)
     heavy = heavy_keys(freq, "term", "doc_freq")
     joined = salted_join(postings, freq, "term", heavy).crossJoin(F.broadcast(total_docs.select("n")))
@@ -51,7 +53,7 @@ def norms_incremental(postings: DataFrame, sequence: DataFrame) -> DataFrame:
     occurrences are ranked over ranges of seq, so that no range is unbounded for one task.
     """
     span = 100_000
-    rows = postings.join(sequence, "page_id").withColumn("_range", F.floor(F.col("seq") / span))
+    rows = settle(postings.join(sequence, "page_id").withColumn("_range", F.floor(F.col("seq") / span)))
     sums = rows.groupBy("term", "_range").agg(F.count("*").alias("_rows"))
     before = sums.withColumn(
         "_before", F.coalesce(F.sum("_rows").over(Window.partitionBy("term").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -70,6 +72,7 @@ def reindex(postings: DataFrame, terms: DataFrame, fresh: DataFrame, changed: Da
     A page's old terms that it has no more lower doc_freq (never below 0), new ones raise it; terms it keeps don't
     touch it. Terms whose doc_freq falls to 0 stay, as unused. Changed pages without fresh postings lose theirs.
     """
+    postings, fresh = settle(postings), settle(fresh)
     once = changed.select("page_id").distinct()
     old = postings.join(once, "page_id", "left_semi")
     pairs = ["term", "page_id"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import index
 from corvane.plans.registry import NARROW, NUM_PAGES, POSTS, WIDE, query
+from corvane.session import settle, spread
 from corvane.sources.tables import clean_postings, current_pages, table
 
 WORDS = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -36,7 +37,7 @@ FREQ = "freq AS (SELECT term, count(*) AS doc_freq FROM post GROUP BY 1)"
 
 
 def docs(spark, where):
-    return table(spark, where, "documents")
+    return spread(table(spark, where, "documents"))
 
 
 def postings_of(spark, where):
@@ -124,7 +125,7 @@ _SECOND_SQL = "(SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) || chr(10) ||
 
 
 def _reindexed(spark, where):
-    old = postings_of(spark, where)
+    old = settle(postings_of(spark, where))
     changed = docs(spark, where).withColumn("text", _second())
     fresh = index.build_postings(changed, "doc_id", "text")
     return index.reindex(old, index.document_frequencies(old), fresh, changed.select(F.col("doc_id").alias("page_id")))

@@ -36,3 +36,13 @@ def settle(df: DataFrame, eager: bool = True) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-"))
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer parts than there are, as with one small file; else df itself.
+
+    For plain scans before maps that are heavy on CPU; behind a shuffle, asking for the number of parts would run it.
+    A table of many files is left as it lies, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
