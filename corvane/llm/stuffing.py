@@ -25,7 +25,7 @@ SALAD_PMI, SALAD_WORDS = 0.5, 12
 SENTENCE = (4.5, 45.0)  # words per sentence of a block in sentences
 BARE = 0.8  # of a block's characters within links
 LEAST_WORDS = 6
-LISTED_ITEMS, ITEM_WORDS, LISTED_SHARE = 6, 4.5, 0.3  # a block of so many short items, so many of its words repeated
+LISTED_ITEMS, ITEM_WORDS, LISTED_SHARE = 6, 4.5, 0.5  # a block of so many short items, so many of its words repeated
 
 _TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", re.S | re.I)
 _STOP = re.compile(r"[.!?。！？؟](?=\s|$|[^\s\d\w])")
@@ -106,6 +106,17 @@ def corpus_counts(bodies: DataFrame, html: str) -> Counts:
     return Counts(words, pairs)
 
 
+def times_within(page: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How often each hash occurs within its page (48 of its bits are compared)."""
+    key = (page.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1 if len(k) else np.zeros(0, np.int64)
+    out = np.empty(len(k), np.int64)
+    out[order] = np.bincount(group)[group] if len(k) else 0
+    return out
+
+
 def in_sentences(text: str, words: int) -> bool:
     ends = len(_STOP.findall(text))
     return ends > 0 and SENTENCE[0] <= words / ends <= SENTENCE[1]
@@ -131,40 +142,29 @@ def stuffed_shares(pages: list[list[Block]], counts: Counts, keep: list[list[boo
         pairs, where = pair_hashes(h), at[1:]
         pmi = counts.pmi(h, pairs)
         pairs, where, pmi = pairs[inner], where[inner], pmi[inner]
-        order = np.lexsort((pairs, page[where]))
-        sp, sg = pairs[order], page[where][order]
-        new = np.concatenate([[True], (np.diff(sg) != 0) | (sp[1:] != sp[:-1])]) if len(sp) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        times = np.empty(len(pairs), np.int64)
-        times[order] = np.bincount(group)[group] if len(sp) else 0
+        times = times_within(page[where], pairs)
         each = np.maximum(np.bincount(where, minlength=len(flat)), 1)
         repeats = np.bincount(where, times >= REPEATED, minlength=len(flat)) / each
         incoherent = (np.bincount(where, pmi, minlength=len(flat)) / each < SALAD_PMI) & (n >= SALAD_WORDS)
-    order = np.lexsort((h, page[at]))
-    new = np.concatenate([[True], (np.diff(page[at][order]) != 0) | (h[order][1:] != h[order][:-1])]) if len(h) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    often = np.empty(len(h), np.int64)
-    often[order] = np.bincount(group)[group] if len(h) else 0
+    often = times_within(page[at], h)
     again = np.bincount(at, often >= REPEATED, minlength=len(flat)) / np.maximum(n, 1)
     stuffed = np.zeros(len(flat))
-    for i, b in enumerate(flat):
-        if not n[i]:
-            continue
-        last = b.path[-1] if b.path else ""
-        items = len(_PARTED.findall(b.text)) + 1
-        if b.linked >= BARE * len(b.text) or 2 * len(_HASHTAG.findall(b.text)) >= len(b.text.split()):
+    linked = np.array([b.linked >= BARE * len(b.text) for b in flat])
+    tagged = np.array(["#" in b.text for b in flat])
+    loose = (repeats >= REPEATED_SHARE) | incoherent
+    for i in np.flatnonzero((n > 0) & (linked | tagged | loose | (again >= LISTED_SHARE))).tolist():
+        b, last = flat[i], flat[i].path[-1] if flat[i].path else ""
+        if linked[i] or (tagged[i] and 2 * len(_HASHTAG.findall(b.text)) >= len(b.text.split())):
+            stuffed[i] = n[i]
+        elif again[i] >= LISTED_SHARE and n[i] <= ITEM_WORDS * (items := len(_PARTED.findall(b.text)) + 1) and items >= LISTED_ITEMS:
             stuffed[i] = n[i]
-        elif items >= LISTED_ITEMS and n[i] <= ITEM_WORDS * items and again[i] >= LISTED_SHARE:
+        elif loose[i] and not in_sentences(b.text, n[i]) and not last.startswith(("li", "td", "th", "dd", "dt")) and n[i] >= LEAST_WORDS:
             stuffed[i] = n[i]
-        elif (repeats[i] >= REPEATED_SHARE or incoherent[i]) and not in_sentences(b.text, n[i]):
-            listed = last.startswith(("li", "td", "th", "dd", "dt")) or n[i] < LEAST_WORDS
-            if not listed:
-                stuffed[i] = n[i]
     share = np.bincount(page, stuffed, minlength=len(pages)) / np.maximum(total, 1)
     # short labels and items count as stuffed only where hardly a sentence stands beside them
     for k in np.flatnonzero((share < 0.5) & (total >= LEAST_WORDS)):
-        own = np.flatnonzero(page == k) if len(pages) < 50 else np.arange(*np.searchsorted(page, [k, k + 1]))
-        loose = [i for i in own if n[i] and not stuffed[i] and repeats[i] >= 0.5 and not in_sentences(flat[i].text, n[i])]
-        if loose and stuffed[own].sum() + n[loose].sum() > 0.8 * total[k]:
-            share[k] = (stuffed[own].sum() + n[loose].sum()) / total[k]
+        own = np.arange(*np.searchsorted(page, [k, k + 1]))
+        items = [i for i in own if n[i] and not stuffed[i] and repeats[i] >= 0.5 and not in_sentences(flat[i].text, n[i])]
+        if items and stuffed[own].sum() + n[items].sum() > 0.8 * total[k]:
+            share[k] = (stuffed[own].sum() + n[items].sum()) / total[k]
     return np.where(total >= LEAST_WORDS, share, 0)
