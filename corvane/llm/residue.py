@@ -72,7 +72,7 @@ FILLER = frozenset(
     " esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 # Openings of template fields, format strings and unresolved labels.
-OPENINGS = "{{ ${ #{ <% [% [[ @@ ?? i18n: t(' missing_ %s %d %1$ __ [object null undefined nan .label .text .title todo: { %".split() + ["dear name"]
+OPENINGS = "{{ ${ #{ <% [% [[ @@ ?? i18n: t(' missing_ %s %d %1$ __ [object null undefined nan .label .text .title .body .intro .headline .teaser .caption .name .header .button .description none nil todo: { %".split() + ["dear name"]
 
 FIELD = re.compile(
     r"\{\{\{?[^{}]{1,60}\}?\}\}|\$\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}|<%[-=]?[^%]{1,60}%>|\[%[^%\]]{1,60}%\]|\[\[[\w .:-]{1,60}\]\]|@@[\w.-]{2,40}@@"
@@ -94,7 +94,9 @@ def automaton() -> ahocorasick.Automaton:
     for kind, text in PHRASES.items():
         for phrase in re.split(r"[|\n]", text.strip()):
             a.add_word(phrase, (kind, len(phrase)))
-    for opening in OPENINGS:
+    scripting = "javascript java script skript скрипт スクリプト 脚本 جافا".split()
+    rare_filler = "eiusmod incididunt consectetur lorem fugiat nostrud laborum veniam mollit culpa".split()
+    for opening in OPENINGS + scripting + rare_filler:
         if opening not in a:
             a.add_word(opening, ("t", len(opening)))
     a.make_automaton()
@@ -103,18 +105,16 @@ def automaton() -> ahocorasick.Automaton:
 
 def touched(title: str, blocks: list[Block]) -> bool:
     """Whether anything of a page can be residue at all: one run over its text."""
-    text = "\n".join([title, *[b.text for b in blocks]]).lower()
-    return next(automaton().iter(text), None) is not None or bool(FILLER_WORD.search(text) or SCRIPTING.search(text))
-
-
-FILLER_WORD = re.compile(r"\b(?:eiusmod|incididunt|consectetur|lorem|fugiat|nostrud|laborum|veniam|mollit|culpa)\b")
+    return next(automaton().iter("\n".join([title, *[b.text for b in blocks]]).lower()), None) is not None
 
 
 def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
     """Share of a text's letters covered by phrases of each kind; "t" for template fields: 1 if there is one.
 
-    Quoted parts and code samples are blanked first.
+    Quoted parts and code samples are blanked first. A text in which the automaton finds nothing has no kinds.
     """
+    if next(automaton().iter(text.lower()), None) is None:
+        return {}
     for s in samples:
         text = text.replace(s.strip(), " ") if s.strip() else text
     bare = QUOTED.sub(lambda m: " " * len(m[0]) if not FIELD.fullmatch(m[0]) and "('" not in text[max(0, m.start() - 2) : m.end()] else m[0], text)
