@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.registry import query
+from corvane.session import spread
 from corvane.sources.tables import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -172,7 +173,7 @@ def encode_texts(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -
 
 @query("p8_ids")
 def ids(spark, where):
-    return encode_texts(table(spark, where, "documents"), "doc_id", "text")
+    return encode_texts(spread(table(spark, where, "documents")), "doc_id", "text")
 
 
 @query("p8_token_counts")

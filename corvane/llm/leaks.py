@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corvane.llm.registry import query
+from corvane.session import spread
 from corvane.sources.tables import table
 
 GRAM = 8
@@ -343,4 +344,4 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame) -> DataFr
 
 @query("p9_found")
 def found(spark, where):
-    return find_leaks(table(spark, where, "documents"), "doc_id", "text", table(spark, where, "eval_items"))
+    return find_leaks(spread(table(spark, where, "documents")), "doc_id", "text", table(spark, where, "eval_items"))
