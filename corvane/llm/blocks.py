@@ -196,7 +196,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(breaks, starts)
 
 
-NUMBERS = 14
+NUMBERS = 16
 
 
 @lru_cache(maxsize=50_000)
@@ -237,6 +237,7 @@ def vectors(pages: list[tuple[str, list[Block]]]) -> np.ndarray:
                 np.log1p(size), words[k], b.linked / size, b.links, t[-1] in ".!?。！？؟:", "©" in t, i / n, n,
                 bool(heading) and (t.lower() == heading or heading.startswith(t.lower()) and size > 12), "|" in t or "›" in t, t[0].islower(), again > 0,
                 t.endswith(")") and t[-2:-1].isdigit(), bs[i - 1].path == b.path if i else False,
+                t.count("#") > 1, b.hidden,
             ))
             k += 1
     np.add.at(out, (np.array(rows), np.array(cells)), 0.5)

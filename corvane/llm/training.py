@@ -64,6 +64,18 @@ def teach(blocks: list[Block]) -> list[int]:
     return out
 
 
+def as_tag_page(blocks: list[Block], labels: list[int], rng: random.Random) -> list[Block]:
+    """The page with its main paragraphs replaced by lines of tag links, which stand in a main body far less often."""
+    words = [w for b in blocks for w in re.findall(r"[^\W\d_]{3,}", b.text)] or ["tag"]
+    out = []
+    for b, main in zip(blocks, labels):
+        if main and b.path and not b.path[-1].startswith("h"):
+            parts = ["#" + rng.choice(words).lower() + rng.choice(["", "", str(rng.randrange(90))]) for _ in range(rng.randrange(2, 9))]
+            b = Block(b.line, (*[p for p in b.path if p not in ("em", "a")], "a"), " ".join(parts), sum(map(len, parts)), len(parts))
+        out.append(b)
+    return out
+
+
 def examples(bodies: list[str], seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, labels) of each page; some with the path or the words blanked."""
     rng, out = random.Random(seed), []
@@ -71,8 +83,11 @@ def examples(bodies: list[str], seed: int = 5) -> list[tuple[np.ndarray, np.ndar
         title, blocks = parse(html)
         if not blocks:
             continue
-        x, y = vectors([(title, blocks)]), np.array(teach(blocks), np.float32)
+        labels = teach(blocks)
+        x, y = vectors([(title, blocks)]), np.array(labels, np.float32)
         out.append((x, y))
+        if rng.random() < 0.06 and sum(labels) > 1:
+            out.append((vectors([(title, as_tag_page(blocks, labels, rng))]), y))
         kind = rng.random()
         if kind < 0.25:
             blind = x.copy()
