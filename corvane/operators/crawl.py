@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from corvane.config import CrawlOptions
 from corvane.functions.urls import disallowed_address, host_of, normalize, url_hash
+from corvane.operators.skew import heavy_keys, salted_join
 from corvane.session import settle
 
 ERROR_CHARS = 2000
@@ -128,8 +129,9 @@ def insert_links(links: DataFrame, pages: DataFrame, found: DataFrame) -> DataFr
     """
     first = found.groupBy("src_page_id", "dst_url").agg(F.min(F.struct("pos", "anchor_text")).alias("f"))
     fresh = first.join(links, ["src_page_id", "dst_url"], "left_anti")
-    known = pages.select(F.col("url").alias("dst_url"), F.col("id").alias("dst_page_id"))
-    return fresh.join(known, "dst_url", "left").select("src_page_id", "dst_url", "dst_page_id", F.col("f.anchor_text").alias("anchor_text"))
+    known = pages.where(F.col("url").isNotNull()).groupBy(F.col("url").alias("dst_url")).agg(F.min("id").alias("dst_page_id"))
+    heavy = heavy_keys(fresh.groupBy("dst_url").agg(F.count("*").alias("n")), "dst_url", "n")
+    return salted_join(fresh, known, "dst_url", heavy, "left").select("src_page_id", "dst_url", "dst_page_id", F.col("f.anchor_text").alias("anchor_text"))
 
 
 # -- page states ----------------------------------------------------------------------------------------------------
@@ -295,7 +297,8 @@ def robots_allow(urls: DataFrame, domains: DataFrame, agent: str = "*") -> DataF
                 out.append(not never and parsed[text].can_fetch(agent, url))
             yield pa.RecordBatch.from_arrays([batch.column("url"), batch.column("domain"), pa.array(out, pa.bool_())], names=["url", "domain", "allowed"])
 
-    return hosts.join(rules, "domain", "left").select("url", "domain", "robots_txt", "disallow_all").mapInArrow(
+    heavy = heavy_keys(hosts.groupBy("domain").agg(F.count("*").alias("n")), "domain", "n")
+    return salted_join(hosts, rules, "domain", heavy, "left").select("url", "domain", "robots_txt", "disallow_all").mapInArrow(
         run, "url string, domain string, allowed boolean"
     )
 
