@@ -45,7 +45,7 @@ def teach(blocks: list[Block]) -> list[int]:
             main = 0
         elif heading:
             teasers, main = True, 0
-        elif b.linked > 0.55 * len(b.text) and not listed and not b.text.startswith("#"):
+        elif b.linked > 0.55 * len(b.text) and last == "a" and not listed and not b.text.startswith("#"):
             main = 0
         elif teasers and b.linked and not listed and last == "a":
             main = 0
