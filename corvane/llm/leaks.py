@@ -29,9 +29,11 @@ K1, B = 1.2, 0.75
 SHARED_WORDS = 10  # a sequence of so many words that stands in several items is nobody's own
 MIN_WORDS, ONE_IN = 15, 8
 #: Least number of characters in exact sequences that a passage of 15 words with one in eight altered can have.
-THRESHOLD_GRAMS = 18
+THRESHOLD_GRAMS = 20
+#: Least number of sequences of any item in such a passage.
+LEAST_GRAMS = 30
 #: So many of its sequences must stand in no other item: phrases that several items use are nobody's own.
-OWN_GRAMS = 24
+OWN_GRAMS = 6
 MAX_ITEMS = 200_000  # the index is a broadcast value; its size is checked against this
 BUCKET_BITS = 22
 
@@ -230,24 +232,14 @@ class ItemIndex:
         if not where:
             return False
         known = sorted(where)
-        # short words at the edges of links and between them
-        for a, b in [(known[0] - 3, known[0])] + list(zip(known, known[1:])) + [(known[-1], known[-1] + 4)]:
-            left = where[a] + words[a][1] - words[a][0] if a in where else max(0, where[known[0]] - 30)
-            right = where[b] if b in where else left + 30
-            if b - a > 1:
-                inner = [k for k in range(max(a + (a in where), 0), min(b, len(words)))]
-                if a in where:
-                    for k in inner:
-                        w = stream[words[k][0] : words[k][1]]
-                        p = z.find(w, left, min(right, left + len(w) + 16))
-                        if p >= 0:
-                            where[k], left = p, p + len(w)
-                else:
-                    for k in reversed(inner):
-                        w = stream[words[k][0] : words[k][1]]
-                        p = z.rfind(w, max(left, right - len(w) - 16), right)
-                        if p >= 0:
-                            where[k], right = p, p
+        # short words between two links count where they stand directly at one of them
+        for a, b in zip(known, known[1:]):
+            left, right, lo, hi = where[a] + words[a][1] - words[a][0], where[b], a + 1, b - 1
+            while lo <= hi and z.startswith(w := stream[words[lo][0] : words[lo][1]], left) and left + len(w) <= right:
+                where[lo], left, lo = left, left + len(w), lo + 1
+            while lo <= hi and z.endswith(w := stream[words[hi][0] : words[hi][1]], left, right):
+                right -= len(w)
+                where[hi], hi = right, hi - 1
         first, last = min(where), max(where)
         # cost of each word: 1 if it is altered or missing; added text before it counts by its length
         cost, prev = [], None
@@ -291,29 +283,32 @@ class ItemIndex:
         doc = np.searchsorted(starts, at, side="right") - 1
         inside = at - starts[doc] + GRAM <= lengths[doc] if len(at) else np.zeros(0, bool)
         at, term, doc = at[inside], term[inside], doc[inside]
-        if not len(at):
-            return []
-        # Lists of one item are the essential ones: without enough of them no item can be reached in a document.
-        single = self.first[term + 1] - self.first[term] == 1
-        n = len(self.ids)
-        owner = doc[single] * n + self.item[self.first[term[single]]]
-        pairs, count = np.unique(owner, return_counts=True)
-        pairs = pairs[count >= OWN_GRAMS]
-        enough = set(pairs.tolist())
-        live = np.isin(doc, pairs // n)
-        at, term, doc = at[live], term[live], doc[live]
         if not len(at):
             return []
         half = PASSAGE // 2
         local = at - starts[doc]
-        wide = int(lengths.max()) // half + 3
+        begin = np.cumsum(lengths // half + 2) - (lengths // half + 2)  # first passage of each text
         # each character lies in two passages
-        passage = np.concatenate([doc * wide + local // half + 1, doc * wide + local // half])
-        p, item = self.retrieve(passage, np.concatenate([term, term]))
+        passage = np.concatenate([begin[doc] + local // half + 1, begin[doc] + local // half])
+        one, term = term, np.concatenate([term, term])
+        full = np.bincount(passage)[passage] >= LEAST_GRAMS
+        passage, term = passage[full], term[full]
+        # Lists of one item are the essential ones: a passage without enough of them can't reach that item.
+        n = len(self.ids)
+        single = self.first[term + 1] - self.first[term] == 1
+        owner = self.item[self.first[term[single]]]
+        pairs, count = np.unique(passage[single] * n + owner, return_counts=True)
+        pairs = pairs[count >= OWN_GRAMS]
+        text_of = lambda p: np.searchsorted(begin, p, side="right") - 1
+        enough = set(zip(text_of(pairs // n).tolist(), (pairs % n).tolist()))
+        live = np.isin(passage, pairs // n)
+        if not live.any():
+            return []
+        p, item = self.retrieve(passage[live], term[live])
         out = []
-        for k, i in sorted(set(zip((p // wide).tolist(), item.tolist()))):
+        for k, i in sorted(set(zip(text_of(p).tolist(), item.tolist()))):
             a, b = np.searchsorted(doc, [k, k + 1])
-            if k * n + i in enough and self.holds(streams[k], at[a:b] - starts[k], term[a:b], i):
+            if (k, i) in enough and self.holds(streams[k], at[a:b] - starts[k], one[a:b], i):
                 out.append((k, self.ids[i]))
         return out
 
