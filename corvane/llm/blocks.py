@@ -75,6 +75,8 @@ def parse(html: str | None) -> tuple[str, list[Block]]:
         tag = m[2]
         if tag:
             tag = tag.lower()
+            if "\n" in m[3]:
+                line += m[3].count("\n")
             if tag == "br":
                 if now is not None:
                     now.text += " "

@@ -37,6 +37,7 @@ def test_parse():
     title, blocks = parse("<title>T &amp; x</title><body>\n<p>a <b>b</b> <a href=x>c</a>\n<li>one<li>two\n</div><p style='display: none'>hid</p><pre>{{x}}</pre>\n<script>\nvar a;\n</script><p>last")
     assert title == "T & x" and [(b.line, b.text) for b in blocks] == [(1, "a b c"), (2, "one two"), (3, "hid"), (3, "{{x}}"), (6, "last")]
     assert blocks[0].linked == 1 and blocks[2].hidden and blocks[3].sample == ["{{x}}"]
+    assert [(b.line, b.text) for b in parse('<p>a\nb</p><p\nclass="x">c\n\n<!-- \n -->d')[1]] == [(0, "a"), (1, "b"), (2, "c"), (5, "d")]
     assert parse(None) == ("", []) and parse("") == ("", []) and parse("<<<>>>")[0] == ""
     assert len(parse("<p>" + "long " * 100_000)[1]) == 1
 
