@@ -240,7 +240,14 @@ def frontier_claim(spark, where):
     return crawl.claim_entries(entries.select("entry_id", "ms", "seq"), delivered, 1746200000000, CrawlOptions.visibility_timeout_ms, 20).select("entry_id")
 
 
-@query("robots_allow")
+@query(
+    "robots_allow",
+    f"""WITH u AS (SELECT DISTINCT url, {HOST.format('url')} AS domain, regexp_replace(url, '^[a-z]+://[^/?#]*', '') AS path FROM pages WHERE url IS NOT NULL),
+    d AS (SELECT domain, max(robots_txt) AS txt, max(disallow_all) AS never FROM domains GROUP BY 1),
+    r AS (SELECT domain, trim(substr(line, 10)) AS prefix FROM (SELECT domain, unnest(string_split(txt, chr(10))) AS line FROM d) WHERE line LIKE 'Disallow:%' AND length(trim(substr(line, 10))) > 0)
+    SELECT url, u.domain, NOT coalesce(never, false) AND NOT EXISTS (SELECT 1 FROM r WHERE r.domain = u.domain AND starts_with(path, prefix)) AS allowed
+    FROM u LEFT JOIN d ON d.domain = u.domain WHERE u.domain <> ''""",
+)
 def robots_allow(spark, where):
     return crawl.robots_allow(table(spark, where, "pages").select("url"), table(spark, where, "domains"))
 

@@ -62,10 +62,10 @@ def metrics_counters(spark, where):
 
 @query(
     "stat_panels",
-    "SELECT count(*) FILTER (event_type <> 'error') AS pages_total, count(DISTINCT user_id) AS sessions, sum(value) AS value_total, max(value) AS value_peak FROM events",
+    "SELECT count(*) FILTER (event_type <> 'error') AS pages_total, count(DISTINCT user_id) AS sessions, round(sum(value), 2) AS value_total, max(value) AS value_peak FROM events",
 )
 def stat_panels(spark, where):
     return events(spark, where).agg(
         F.count_if(F.col("event_type") != "error").alias("pages_total"), F.countDistinct("user_id").alias("sessions"),
-        F.sum("value").alias("value_total"), F.max("value").alias("value_peak"),
+        F.round(F.sum("value"), 2).alias("value_total"), F.max("value").alias("value_peak"),
     )
