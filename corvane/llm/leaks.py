@@ -30,10 +30,10 @@ SHARED_WORDS = 10  # a sequence of so many words that stands in several items is
 MIN_WORDS, ONE_IN = 15, 8
 #: Least number of characters in exact sequences that a passage of 15 words with one in eight altered can have.
 THRESHOLD_GRAMS = 20
-#: Least number of sequences of any item in such a passage.
+#: Least number of sequences of an item in such a passage.
 LEAST_GRAMS = 30
 #: So many of its sequences must stand in no other item: phrases that several items use are nobody's own.
-OWN_GRAMS = 6
+OWN_GRAMS = 7
 MAX_ITEMS = 200_000  # the index is a broadcast value; its size is checked against this
 BUCKET_BITS = 22
 
@@ -41,6 +41,7 @@ BUCKET_BITS = 22
 LOOKALIKES = dict(zip("аеорсухіјѕԁһոցԛԝαορνικτυ", "aeopcyxijsdhngqwaopviktu"))
 _DROP_ASCII = bytes(c for c in range(128) if not chr(c).isalnum())
 _OTHERS = str.maketrans(LOOKALIKES)
+_ALIKE = re.compile(f"[{''.join(LOOKALIKES)}]")
 _MARKUP = re.compile(r"<[/!a-zA-Z][^<>]{0,300}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
@@ -77,7 +78,8 @@ def plain(text: str) -> str:
     """Letters and digits alone, without case and accents."""
     if text.isascii():
         return text.encode().lower().translate(None, _DROP_ASCII).decode()
-    return _SIGNS.sub("", unicodedata.normalize("NFKD", text).casefold().translate(_OTHERS))
+    text = unicodedata.normalize("NFKD", text).casefold()
+    return _SIGNS.sub("", text.translate(_OTHERS) if _ALIKE.search(text) else text)
 
 
 def grams(z: str) -> np.ndarray:
@@ -185,7 +187,9 @@ class ItemIndex:
         keep = np.isin(passage[which] * self.blocks + self.p_item[entry] // BLOCK, live)
         n = len(self.ids)
         cells, inverse = np.unique((passage[which] * n + self.p_item[entry])[keep], return_inverse=True)
-        good = cells[np.bincount(inverse, self.p_score[entry][keep]) >= self.threshold] if len(cells) else cells
+        if not len(cells):
+            return cells, cells
+        good = cells[(np.bincount(inverse, self.p_score[entry][keep]) >= self.threshold) & (np.bincount(inverse) >= LEAST_GRAMS)]
         return good // n, good % n
 
     def holds(self, z: str, at: np.ndarray, term: np.ndarray, item: int) -> bool:
@@ -197,6 +201,11 @@ class ItemIndex:
         which, entry = self._spread(self.first, term)
         mine = self.item[entry] == item
         d, s = at[which][mine], self.place[entry][mine]
+        shift, count = np.unique((d - s) >> 6, return_counts=True)  # a passage keeps its distance, give or take a few words
+        near = count.copy()
+        near[:-1] += np.where(np.diff(shift) == 1, count[1:], 0)
+        if near.max(initial=0) < LEAST_GRAMS:
+            return False
         alone = np.sort(s[(self.first[term + 1] - self.first[term] == 1)[which][mine]])
         order = np.lexsort((d, d - s))
         d, s = d[order], s[order]
@@ -297,8 +306,13 @@ class ItemIndex:
         n = len(self.ids)
         single = self.first[term + 1] - self.first[term] == 1
         owner = self.item[self.first[term[single]]]
-        pairs, count = np.unique(passage[single] * n + owner, return_counts=True)
-        pairs = pairs[count >= OWN_GRAMS]
+        # they must also keep their distance, so that grams met by chance don't add up
+        shift = np.concatenate([local, local])[full][single] - self.place[self.first[term[single]]]
+        found = []
+        for more in (0, 32):
+            key, count = np.unique(((passage[single] * n + owner) << 20) + (((shift + more) >> 6) & 0xFFFFF), return_counts=True)
+            found.append(key[count >= OWN_GRAMS] >> 20)
+        pairs = np.unique(np.concatenate(found))
         text_of = lambda p: np.searchsorted(begin, p, side="right") - 1
         enough = set(zip(text_of(pairs // n).tolist(), (pairs % n).tolist()))
         live = np.isin(passage, pairs // n)
