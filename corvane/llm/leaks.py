@@ -12,7 +12,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ THRESHOLD_GRAMS = 20
 LEAST_GRAMS = 30
 #: So many of its sequences must stand in no other item: phrases that several items use are nobody's own.
 OWN_GRAMS = 7
+JOINED = 24  # letters of a document's word from which it may be several without spaces
+JOINED_WORD = 4  # letters of a word that ends a run inside such a word
 MAX_ITEMS = 200_000  # the index is a broadcast value; its size is checked against this
 BUCKET_BITS = 22
 
@@ -47,6 +52,7 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 _GARBLED = re.compile("[Â-ô][\u0080-¿Œ-Ÿ–-™ƒˆ˜]+")
 _SIGNS = re.compile(r"[\W_]+")
+_HYPHEN = re.compile(r"(?<=\w)[-\u00ad\u2010]\s*\n\s*(?=\w)")
 
 
 def _repaired(m: re.Match) -> str:
@@ -82,6 +88,37 @@ def plain(text: str) -> str:
     return _SIGNS.sub("", text.translate(_OTHERS) if _ALIKE.search(text) else text)
 
 
+class Breaks:
+    """Places between the words of a text, counted in letters of its plain form."""
+
+    def __init__(self, text: str | None):
+        at, self.signs, self.spaces = 0, [0], [0]
+        for token in _HYPHEN.sub("", readable(text or "")).split():
+            for piece in _SIGNS.split(token):
+                if n := len(plain(piece)):
+                    at += n
+                    self.signs.append(at)
+            if at > self.spaces[-1]:
+                self.spaces.append(at)
+        self.every = frozenset(self.signs)
+
+    def joined(self, p: int, step: int) -> bool:
+        """Whether the word that begins at p, or holds p, in the direction of step seems to be several without spaces."""
+        k = bisect_right(self.spaces, p) if step > 0 else bisect_left(self.spaces, p)
+        return 0 < k < len(self.spaces) and self.spaces[k] - self.spaces[k - 1] > JOINED
+
+    def past(self, p: int, step: int) -> list[int]:
+        """Places where one word that begins at p in the direction of step, or is left of it, can end."""
+        if self.joined(p, step):
+            lo, hi = (p + 1, min(p + JOINED, self.spaces[-1])) if step > 0 else (max(p - JOINED, 0), p - 1)
+            return list(range(lo, hi + 1))
+        if step > 0:
+            k = bisect_right(self.spaces, p)
+            return self.signs[bisect_right(self.signs, p) : bisect_right(self.signs, self.spaces[k])] if k < len(self.spaces) else []
+        k = bisect_left(self.spaces, p) - 1
+        return self.signs[bisect_left(self.signs, self.spaces[k]) : bisect_left(self.signs, p)] if k >= 0 else []
+
+
 def grams(z: str) -> np.ndarray:
     """Hashes of all sequences of eight characters."""
     c = np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -192,11 +229,11 @@ class ItemIndex:
         good = cells[(np.bincount(inverse, self.p_score[entry][keep]) >= self.threshold) & (np.bincount(inverse) >= LEAST_GRAMS)]
         return good // n, good % n
 
-    def holds(self, z: str, at: np.ndarray, term: np.ndarray, item: int) -> bool:
+    def holds(self, z: str, at: np.ndarray, term: np.ndarray, item: int, breaks: Callable[[], Breaks]) -> bool:
         """Whether the stream z holds 15 words in a row of the item, at most one in eight altered, missing or added.
 
         Exact common sequences are chained along the document; between two links the item's words are looked for in
-        the text between. Words of shared wording end a run.
+        the text between, beyond the ends of a chain word by word. Words of shared wording end a run.
         """
         which, entry = self._spread(self.first, term)
         mine = self.item[entry] == item
@@ -222,14 +259,40 @@ class ItemIndex:
                     break
             else:
                 chains.append([link])
-        return any(self._run(z, chain, item, alone) for chain in chains if self._can(chain, alone))
+        return any(self._run(z, chain, item, alone, breaks) for chain in chains if self._can(chain, alone))
 
     @staticmethod
     def _can(chain: list, alone: np.ndarray) -> bool:
         a, b = chain[0][1], chain[-1][1] + chain[-1][2]
         return b - a >= 40 and int(np.searchsorted(alone, b) - np.searchsorted(alone, a)) >= OWN_GRAMS
 
-    def _run(self, z: str, chain: list, item: int, alone: np.ndarray) -> bool:
+    def _beyond(self, z: str, breaks: Breaks, item: int, k: int, p: int, step: int, most: int) -> dict[int, int]:
+        """Words from k on, in the direction of step, that stand in z from p on: the least number of words altered, missing or added before each.
+
+        An altered or added word ends where a word of the document does. All ways with at most `most` of them are followed.
+        """
+        words, own, stream, found = self.words[item], self.own[item], self.streams[item], {}
+        level, seen = {(k, p)}, set()
+        for c in range(most + 1):
+            todo, level = list(level), set()
+            while todo:
+                state = k, p = todo.pop()
+                if state in seen or not 0 <= k < len(words) or not own[k]:
+                    continue
+                seen.add(state)
+                w = stream[words[k][0] : words[k][1]]
+                if z.startswith(w, p) if step > 0 else z.endswith(w, 0, p):
+                    q = p + step * len(w)
+                    if q in breaks.every or (len(w) >= JOINED_WORD and breaks.joined(p, step)):
+                        found.setdefault(k, c)
+                    todo.append((k + step, q))
+                if c < most:
+                    level.add((k + step, p))
+                    for q in breaks.past(p, step):
+                        level |= {(k + step, q), (k, q)}
+        return found
+
+    def _run(self, z: str, chain: list, item: int, alone: np.ndarray, breaks: Callable[[], Breaks]) -> bool:
         words, own, stream = self.words[item], self.own[item], self.streams[item]
         where = {}  # item word -> place in z of its start
         starts = [a for a, _ in words]
@@ -266,19 +329,32 @@ class ItemIndex:
             else:
                 c = 1.0
             cost.append(c if own[k] else float("inf"))
-        n = len(cost)
-        for i in range(n):
-            if first + i not in where or cost[i] == float("inf"):
-                continue
+
+        def whole(i: int, j: int, total: float) -> bool:
+            if j - i + 1 < MIN_WORDS or total * ONE_IN > j - i + 1:
+                return False
+            a, b = np.searchsorted(alone, [words[i][0], words[j][1]])
+            return bool(b - a >= OWN_GRAMS)
+
+        for i in (k for k in range(first, last + 1) if k in where):
             total = 0.0
-            for j in range(i, n):
-                total += cost[j] if j > i else 0
+            for j in range(i, last + 1):
+                total += cost[j - first] if j > i or cost[j - first] == float("inf") else 0
                 if total == float("inf"):
                     break
-                if j - i + 1 >= MIN_WORDS and first + j in where and total * ONE_IN <= j - i + 1:
-                    a, b = np.searchsorted(alone, [words[first + i][0], words[first + j][1]])
-                    if b - a >= OWN_GRAMS:
-                        return True
+                if j in where and whole(i, j, total):
+                    return True
+        # else word by word from each link on, in both directions
+        most, before = len(words) // ONE_IN, (-1, -1)
+        for d, s, n in chain:
+            k = bisect_left(starts, s)
+            if k == len(words) or words[k][1] > s + n or before == (k, d - s):
+                continue
+            before, p = (k, d - s), d + words[k][0] - s
+            right = self._beyond(z, breaks(), item, k, p, 1, most)
+            left = self._beyond(z, breaks(), item, k - 1, p, -1, most) | {k: 0}
+            if own[k] and any(whole(i, j, a + b) for i, a in left.items() for j, b in right.items()):
+                return True
         return False
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
@@ -319,10 +395,10 @@ class ItemIndex:
         if not live.any():
             return []
         p, item = self.retrieve(passage[live], term[live])
-        out = []
+        out, breaks = [], lru_cache(maxsize=1)(lambda k: Breaks(texts[k]))
         for k, i in sorted(set(zip(text_of(p).tolist(), item.tolist()))):
             a, b = np.searchsorted(doc, [k, k + 1])
-            if (k, i) in enough and self.holds(streams[k], at[a:b] - starts[k], one[a:b], i):
+            if (k, i) in enough and self.holds(streams[k], at[a:b] - starts[k], one[a:b], i, lambda k=k: breaks(k)):
                 out.append((k, self.ids[i]))
         return out
 

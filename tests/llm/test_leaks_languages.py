@@ -59,6 +59,21 @@ def test_altered_words(index):
     assert ids(index, " ".join(words[:10] + words[11:])) == {5}
 
 
+def test_altered_words_near_the_ends(index):
+    for i in range(12):
+        for at in range(1, 14):
+            words = passage(i, 2, 17).split()
+            words[at] = "different"
+            assert ids(index, " ".join(words)) == {i} == ids(index, f"{NOISE}{' '.join(words)} {NOISE}"), (i, at)
+    words = passage(5, 0, 24).split()
+    for at in (1, 8, 22):
+        words[at] = "altered"
+    assert ids(index, " ".join(words)) == {5} and ids(index, " ".join(words[:8] + words[9:])) == {5}
+    for at in range(1, 24, 5):
+        words[at] = "another"
+    assert ids(index, " ".join(words)) == set()
+
+
 def test_no_leaks(index):
     assert ids(index, SHARED + " " + NOISE) == set()
     assert ids(index, passage(7, 0, 12)) == set()
