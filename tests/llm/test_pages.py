@@ -119,6 +119,20 @@ def test_stuffing():
     assert stuffing.stuffed_shares([], own).tolist() == [] and stuffing.stuffed_shares([[]], own).tolist() == [0]
 
 
+def test_short_items_that_repeat_a_third_of_their_words():
+    own = stuffing.Counts(*(np.zeros(stuffing.CELLS, np.int64) for _ in range(2)))
+
+    def share(text):
+        blocks = parse(f"<p>{text}</p>")[1]
+        return stuffing.stuffed_shares([blocks], own)[0]
+
+    labels = "amber bolt, brass hinge, cedar bolt, dusk lamp, elm bolt, fern hinge, glass vase, hazel hinge, iron bolt"
+    words = labels.replace(",", "").split()
+    repeated = sum(words.count(w) >= stuffing.REPEATED for w in words) / len(words)
+    assert 0.3 <= repeated < 0.5 and share(labels) == 1
+    assert share(labels.replace("bolt, dusk", "clasp, dusk").replace("fern hinge", "fern knob")) == 0
+
+
 def test_frames(spark):
     words = "cheap oak table best oak table buy oak table online oak table price " * 12
     rows = [(1, page(ARTICLE)), (2, page("<p>[[title]]</p>\n")), (3, page(f"<p>{words}</p>\n")), (4, None), (5, ""), (6, "<p>")]
