@@ -37,6 +37,7 @@ THRESHOLD_GRAMS = 20
 LEAST_GRAMS = 30
 #: So many of its sequences must stand in no other item: phrases that several items use are nobody's own.
 OWN_GRAMS = 7
+REACH = 60  # characters between two links of a chain
 JOINED = 24  # letters of a document's word from which it may be several without spaces
 JOINED_WORD = 4  # letters of a word that ends a run inside such a word
 MAX_ITEMS = 200_000  # the index is a broadcast value; its size is checked against this
@@ -249,18 +250,33 @@ class ItemIndex:
         cut = np.flatnonzero((np.diff(d - s) != 0) | (np.diff(d) != 1)) + 1
         lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(d)]])
         links = sorted(zip(d[lo].tolist(), s[lo].tolist(), (hi - lo + GRAM - 1).tolist()))
-        chains: list[list] = []
-        for link in links:
-            for chain in reversed(chains[-6:]):
-                pd, ps, pn = chain[-1]
-                gap_d, gap_s = link[0] - pd - pn, link[1] - ps - pn
-                if -GRAM < gap_s <= 60 and -GRAM < gap_d <= 60 and abs(gap_d - gap_s) <= 40 and link[1] > ps:
-                    chain.append(link)
-                    break
-            else:
-                chains.append([link])
+        chains = self._chains(links)
         return any(self._run(z, chain, item, alone, breaks) for chain in chains if self._can(chain, alone))
 
+    @staticmethod
+    def _chains(links: list[tuple[int, int, int]]) -> list[list]:
+        """Every link with the best way to it, unless it lies on the way to another. Links near it in the document are all tried."""
+        score, back, inner, near = [n for _, _, n in links], [-1] * len(links), set(), []
+        for x, (d, s, n) in enumerate(links):
+            near = [y for y in near if d - links[y][0] - links[y][2] <= REACH]
+            for y in near:
+                pd, ps, pn = links[y]
+                gap_d, gap_s = d - pd - pn, s - ps - pn
+                if -GRAM < gap_s <= REACH and -GRAM < gap_d <= REACH and abs(gap_d - gap_s) <= 40 and s > ps:
+                    if (new := score[y] + n - abs(gap_d - gap_s)) > score[x] or back[x] < 0:
+                        score[x], back[x] = new, y
+            near.append(x)
+            inner.add(back[x])
+        chains = []
+        for x in range(len(links)):
+            if x not in inner:
+                chain = []
+                while x >= 0:
+                    chain.append(links[x])
+                    x = back[x]
+                chains.append(chain[::-1])
+        return chains
+
     @staticmethod
     def _can(chain: list, alone: np.ndarray) -> bool:
         a, b = chain[0][1], chain[-1][1] + chain[-1][2]

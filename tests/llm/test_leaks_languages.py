@@ -74,6 +74,13 @@ def test_altered_words_near_the_ends(index):
     assert ids(index, " ".join(words)) == set()
 
 
+def test_chains_with_many_repeats():
+    true, repeats = [(0, 100, 40), (50, 150, 40)], [(5 + k, 300 + 20 * k, 12) for k in range(8)]
+    assert any(set(true) <= set(c) for c in leaks.ItemIndex._chains(sorted(true + repeats)))
+    stray = (42, 120, 8)  # fits behind the first link, but is not on its way to the second
+    assert any(set(true) <= set(c) for c in leaks.ItemIndex._chains(sorted([*true, stray, (52, 146, 9)])))
+
+
 def test_no_leaks(index):
     assert ids(index, SHARED + " " + NOISE) == set()
     assert ids(index, passage(7, 0, 12)) == set()
