@@ -103,9 +103,14 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+def fold(text: str) -> str:
+    """Lower case of the same length: the capital dotted I is the one letter whose lower case is longer."""
+    return text.replace("\u0130", "i").lower()
+
+
 def touched(title: str, blocks: list[Block]) -> bool:
     """Whether anything of a page can be residue at all: one run over its text."""
-    return next(automaton().iter("\n".join([title, *[b.text for b in blocks]]).lower()), None) is not None
+    return next(automaton().iter(fold("\n".join([title, *[b.text for b in blocks]]))), None) is not None
 
 
 def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
@@ -113,7 +118,7 @@ def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
 
     Quoted parts and code samples are blanked first. A text in which the automaton finds nothing has no kinds.
     """
-    if next(automaton().iter(text.lower()), None) is None:
+    if next(automaton().iter(fold(text)), None) is None:
         return {}
     for s in samples:
         text = text.replace(s.strip(), " ") if s.strip() else text
@@ -123,7 +128,7 @@ def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
         out["t"] = 1.0
     if TECHNICAL.match(text.strip()):
         out["e"] = 1.0
-    low = bare.lower()
+    low = fold(bare)
     n = len(LETTERS.findall(bare))
     if not n:
         return out
@@ -131,8 +136,6 @@ def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
     latin = sum(w in FILLER for w in words)
     if latin >= 5 and latin > 0.8 * len(words):
         out["f"] = 1.0
-    if len(low) != len(bare):
-        return out
     spans: dict[str, list] = {}
     for end, (kind, size) in automaton().iter(low):
         if kind != "t":

@@ -103,6 +103,12 @@ def test_residue():
     assert residue.kinds_of("") == {} and not residue.is_residue("", [], [])
 
 
+def test_residue_with_capital_dotted_i():
+    assert [chr(c) for c in range(0x110000) if len(residue.fold(chr(c))) != 1] == []
+    assert residue.kinds_of("İzniniz yok")["e"] == 1 and residue.kinds_of("İstediğiniz sayfa bulunamadı")["e"] >= residue.BLOCK_COVERAGE
+    assert flag(page("<p>İstediğiniz sayfa bulunamadı.</p>\n", "İzniniz yok")) and not flag(page(ARTICLE + "<p>İstanbul eski bir şehirdir.</p>\n"))
+
+
 def test_stuffing():
     natural, words = page(ARTICLE), "cheap oak table best oak table buy oak table online oak table price " * 12
     counts = [np.zeros(stuffing.CELLS, np.int64) for _ in range(2)]
