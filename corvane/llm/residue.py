@@ -73,6 +73,8 @@ FILLER = frozenset(
 )
 # Openings of template fields, format strings and unresolved labels.
 OPENINGS = "{{ ${ #{ <% [% [[ @@ ?? i18n: t(' missing_ %s %d %1$ __ [object null undefined nan .label .text .title .body .intro .headline .teaser .caption .name .header .button .description none nil todo: { %".split() + ["dear name"]
+# Further openings of what FIELD and TECHNICAL find.
+OPENINGS += ["order_no", "fatal error", "parse error: ", "warning: ", "uncaught ", "sqlstate[", "traceback (most recent", "exception in thread"]
 
 FIELD = re.compile(
     r"\{\{\{?[^{}]{1,60}\}?\}\}|\$\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}|<%[-=]?[^%]{1,60}%>|\[%[^%\]]{1,60}%\]|\[\[[\w .:-]{1,60}\]\]|@@[\w.-]{2,40}@@"
@@ -108,18 +110,30 @@ def fold(text: str) -> str:
     return text.replace("\u0130", "i").lower()
 
 
+def filler(low: str, quotes: bool = False) -> bool:
+    """Whether a text in lower case is Latin filler, or with `quotes` could be once quoted parts are blanked. It may hold no word of the automaton."""
+    words = re.findall(r"\w+", low)
+    latin = sum(map(FILLER.__contains__, words))
+    return latin >= 5 and (latin > 0.8 * len(words) or (quotes and QUOTED.search(low) is not None))
+
+
 def touched(title: str, blocks: list[Block]) -> bool:
-    """Whether anything of a page can be residue at all: one run over its text."""
-    return next(automaton().iter(fold("\n".join([title, *[b.text for b in blocks]]))), None) is not None
+    """Whether anything of a page can be residue at all: one run over its text. Blanked samples may leave other text, so they are checked in full."""
+    texts = fold("\n".join([title, *[b.text for b in blocks]]))
+    return next(automaton().iter(texts), None) is not None or any(b.sample for b in blocks) or any(filler(t, True) for t in texts.split("\n"))
 
 
 def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
     """Share of a text's letters covered by phrases of each kind; "t" for template fields: 1 if there is one.
 
-    Quoted parts and code samples are blanked first. A text in which the automaton finds nothing has no kinds.
+    Quoted parts and code samples are blanked first. A text without samples, in which the automaton finds nothing and that isn't filler, has no kinds.
     """
-    if next(automaton().iter(fold(text)), None) is None:
+    if not samples and next(automaton().iter(low := fold(text)), None) is None and not filler(low, True):
         return {}
+    return _kinds_in_full(text, samples)
+
+
+def _kinds_in_full(text: str, samples: list[str] = ()) -> dict[str, float]:
     for s in samples:
         text = text.replace(s.strip(), " ") if s.strip() else text
     bare = QUOTED.sub(lambda m: " " * len(m[0]) if not FIELD.fullmatch(m[0]) and "('" not in text[max(0, m.start() - 2) : m.end()] else m[0], text)
@@ -132,9 +146,7 @@ def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
     n = len(LETTERS.findall(bare))
     if not n:
         return out
-    words = re.findall(r"\w+", low)
-    latin = sum(w in FILLER for w in words)
-    if latin >= 5 and latin > 0.8 * len(words):
+    if filler(low):
         out["f"] = 1.0
     spans: dict[str, list] = {}
     for end, (kind, size) in automaton().iter(low):

@@ -109,6 +109,17 @@ def test_residue_with_capital_dotted_i():
     assert flag(page("<p>İstediğiniz sayfa bulunamadı.</p>\n", "İzniniz yok")) and not flag(page(ARTICLE + "<p>İstanbul eski bir şehirdir.</p>\n"))
 
 
+def test_early_exit_changes_nothing():
+    texts = ["Parse error: syntax error, unexpected end of file", "PHP Parse error: unexpected token", "Warning: unexpected value in line 3", "Uncaught ValueException", "Uncaught TypeError",
+             "Fatal error: an exception", "SQLSTATE[42]", "Traceback (most recent", "Exception in thread main", "ORDER_NO", "Your number is ORDER_NO today", "Dear NAME", "{{ a }}", "{{{ a }}}", "${a}", "#{a}", "<%= a %>",
+             "[% a %]", "[[a b]]", "@@abc@@", "??a.b??", "%name_x%", "__abc__", "{abc_d}", "i18n:a.b", "t('a.b')", "MISSING_A", "%s", "%d", "%2$s", "[object Object]", "page.main.label", "a_b.c.caption",
+             "null", "undefined", "NaN", "None", "nil", "ut labore et dolore magna aliqua", "in ea sit non est sed", 'ut labore et dolore magna "words of another kind stand here"']
+    for text in texts:
+        full = residue._kinds_in_full(text)
+        assert full and residue.kinds_of(text) == full and residue.touched("", parse(f"<p>{text.replace('<', '&lt;')}</p>")[1]), text
+    assert residue.kinds_of("notxfound", ["x"]) == residue._kinds_in_full("notxfound", ["x"]) and residue.kinds_of("A plain sentence.") == {}
+
+
 def test_stuffing():
     natural, words = page(ARTICLE), "cheap oak table best oak table buy oak table online oak table price " * 12
     counts = [np.zeros(stuffing.CELLS, np.int64) for _ in range(2)]
