@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.host": "127.0.0.1",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,18 +28,42 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def settle(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: spark.checkpoint.dir, which all executors must reach.
 
-    The folder is the one in spark.checkpoint.dir. Only where that is unset, as in tests, a local folder is used.
-    The files survive the loss of an executor, which a local checkpoint doesn't.
+    Where it is unset, a local session gets a temporary folder; a cluster has none that all of it can read, so that
+    is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corvane-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Writes df to the shared folder and returns it without its lineage, as rows in Spark's own form.
+
+    The files survive the loss of an executor, which a local checkpoint doesn't. For narrow rows that are used soon.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder as a compressed columnar table and returns a scan of it.
+
+    For wide rows, or where later steps read some of the columns only.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer parts than there are, as with one small file; else df itself.
 
