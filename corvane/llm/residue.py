@@ -17,6 +17,7 @@ import ahocorasick
 from corvane.llm.blocks import Block
 
 BLOCK_COVERAGE = 0.5  # of a block's letters: it is a message, not a sentence about one
+HEAD_COVERAGE = 0.6  # of a title or of the page's own headline
 PAGE_COVERAGE = 0.5  # of the main body's letters within such blocks
 
 # Phrases of messages, by kind. "e" errors and refusals, "s" notices that scripts are needed, "f" filler.
@@ -35,9 +36,9 @@ too many requests|your address has been blocked|has been blocked for|rate limit
 account is suspended|account has been suspended|please ask the hosting provider|contact your hosting provider|this domain is parked
 fatal error|uncaught exception|stack trace|traceback (most recent call last)|sqlstate|could not connect to server|could not connect|connection refused|connection timed out
 error establishing a database connection|internal server error|bad gateway|gateway timeout|gateway time-out|bad request|error code|gave no answer in time|did not respond in time|upstream server|our database|this address|that document|the resource|the upstream|error 404|error 500|404 error|http error
-we are afraid that|unfortunately|an error occurred|an unexpected error|we could not find
+we are afraid that|unfortunately|sorry|oops|cannot be shown|an error occurred|an unexpected error|we could not find
 nicht gefunden|wurde nicht gefunden|konnte nicht gefunden werden|existiert nicht mehr|nicht mehr verfügbar|die angeforderte seite|die gewünschte seite|zugriff verweigert|ihnen fehlt die berechtigung|keine berechtigung|für diesen inhalt|kein zugriff
-vorübergehend nicht erreichbar|zurzeit nicht erreichbar|derzeit nicht erreichbar|nicht verfügbar|bitte versuchen sie es später erneut|versuchen sie es später|später erneut|der dienst ist|der server ist|interner serverfehler|etwas ist schiefgelaufen|ein fehler ist aufgetreten|sitzung ist abgelaufen|wegen wartung|entschuldigung|leider|fehlercode|prüfen sie die adresse|zurück zum anfang
+vorübergehend nicht erreichbar|zurzeit nicht erreichbar|derzeit nicht erreichbar|nicht verfügbar|wird gerade gewartet|wird gewartet|bitte versuchen sie es später erneut|versuchen sie es später|später erneut|der dienst ist|der server ist|interner serverfehler|etwas ist schiefgelaufen|ein fehler ist aufgetreten|sitzung ist abgelaufen|wegen wartung|entschuldigung|leider|fehlercode|prüfen sie die adresse|zurück zum anfang
 no encontrada|no encontrado|no hemos encontrado|la página solicitada|no existe|ya no existe|ya no está disponible|acceso denegado|no tiene permiso|para ver este contenido|no está disponible en este momento|el servicio no está disponible|vuelva a intentarlo más tarde|inténtelo de nuevo|inténtelo más tarde|error interno|ha ocurrido un error|algo salió mal|la sesión ha caducado|en mantenimiento|lo sentimos|el servidor no responde|no responde|código de error|compruebe la dirección|por desgracia|vuelva al inicio|el documento está
 introuvable|est introuvable|cette page est introuvable|a été déplacée|n'existe plus|n'existe pas|accès refusé|vous n'avez pas les droits|pour voir cette page|vous n'êtes pas autorisé|temporairement indisponible|service indisponible|n'est pas disponible|veuillez réessayer|réessayez plus tard|réessayer plus tard|une erreur est survenue|erreur interne|la page ne répond pas|ne répond pas|session a expiré|en maintenance|désolé|un problème est survenu|code d'erreur|retour au début|vérifiez l'adresse|oups|le serveur n'existe
 pagina non trovata|non trovata|non esiste più|accesso negato|non hai i permessi|non disponibile al momento|riprova più tardi|errore interno|si è verificato un errore|sessione scaduta|ci dispiace
@@ -61,7 +62,7 @@ activez javascript|activer javascript|pour afficher cette page|nécessite javasc
 abilita javascript|attiva javascript|per visualizzare questa pagina|ative o javascript|ativar o javascript|habilite o javascript|para ver esta página|schakel javascript in|javascript inschakelen|om deze pagina te bekijken|aktivera javascript|slå på javascript|för att visa sidan|włącz javascript|włączyć javascript|aby wyświetlić tę stronę|javascript'i etkinleştirin|bu sayfayı görüntülemek için|включите javascript|чтобы просмотреть эту страницу|увімкніть javascript|щоб переглянути цю сторінку|ενεργοποιήστε τη javascript|javascriptを有効にしてください|请启用 javascript|请启用javascript|启用 javascript|يرجى تفعيل javascript|تفعيل جافا سكريبت
 """,
     "f": """
-lorem ipsum|ipsum dolor|dolor sit amet|consectetur adipiscing|your title here|sample heading|headline goes here|title goes here|text goes here|your text goes here|replace this paragraph|before you publish|add a short description|of your company in this box|describe the item here|untitled page|untitled document|new page|new post (draft)|insert text here|click to edit|edit this text|placeholder text|text text text|test test test|asdf asdf|xxxxx xxx|todo: write|write this section|coming soon|just another wordpress site|hello world! welcome|example heading
+lorem ipsum|ipsum dolor|dolor sit amet|consectetur adipiscing|your title here|sample heading|headline goes here|title goes here|text goes here|your text goes here|replace this paragraph|before you publish|add a short description|of your company in this box|describe the item here|untitled page|untitled document|page title|document title|site title|new page|new post (draft)|insert text here|click to edit|edit this text|placeholder text|text text text|test test test|asdf asdf|xxxxx xxx|todo: write|write this section|coming soon|just another wordpress site|hello world! welcome|example heading
 blindtext|hier steht ihr text|überschrift hier|titel hier eingeben|beispieltext|unbenannte seite|neuer beitrag|texto de ejemplo|escriba aquí su texto|título aquí|página sin título|texte d'exemple|votre texte ici|titre ici|page sans titre|saisissez votre texte|testo di esempio|inserisci il testo|texto de exemplo|insira o texto|voorbeeldtekst|exempeltext|tekst przykładowy|örnek metin|пример текста|введите текст|приклад тексту|サンプルテキスト|示例文本
 """,
 }
@@ -77,15 +78,30 @@ OPENINGS = "{{ ${ #{ <% [% [[ @@ ?? i18n: t(' missing_ %s %d %1$ __ [object null
 OPENINGS += ["order_no", "fatal error", "parse error: ", "warning: ", "uncaught ", "sqlstate[", "traceback (most recent", "exception in thread"]
 
 FIELD = re.compile(
-    r"\{\{\{?[^{}]{1,60}\}?\}\}|\$\{[^{}]{1,60}\}|#\{[^{}]{1,60}\}|<%[-=]?[^%]{1,60}%>|\[%[^%\]]{1,60}%\]|\[\[[\w .:-]{1,60}\]\]|@@[\w.-]{2,40}@@"
-    r"|\?\?[\w.-]{2,60}\?\?|(?<![\w%])%[A-Za-z_][\w-]{2,40}%(?![\w%])|(?<!\w)__[A-Za-z][\w-]{1,40}__(?!\w)|\{[A-Za-z_][A-Za-z_.]{2,40}\}"
-    r"|\bi18n:[\w.]+|\bt\('[\w.]+'\)|\bMISSING_\w+|(?<![\w%])%(?:\d+\$)?[sd](?!\w)|\[object Object\]|\bDear NAME\b|\bORDER_NO\b"
+    r"\{\{\{?[^{}]+\}?\}\}|\$\{[^{}]+\}|#\{[^{}]+\}|<%[-=]?[^%]+%>|\[%[^%\]]+%\]|\[\[[\w .:-]+\]\]|@@[\w.-]{2,}@@"
+    r"|\?\?[\w.-]{2,}\?\?|(?<![\w%])%[A-Za-z_][\w.-]{2,}%(?![\w%])|(?<!\w)__[A-Za-z][\w.-]+__(?!\w)|\{[A-Za-z_][\w.-]{2,}\}"
+    r"|\bi18n:[\w.]+|\bt\('[\w.-]+'\)|\bMISSING_\w+|(?<![\w%])%(?:\d+\$)?[sd](?!\w)|\[object Object\]|\bDear NAME\b|\bORDER_NO\b"
 )
 LABEL = re.compile(r"[a-z][\w-]*(?:\.[a-z_][\w-]*){1,}\.(?:label|title|text|body|intro|headline|teaser|caption|name|header|button|description)")
 EMPTY = re.compile(r"(?:\b(?:null|undefined|NaN|None|nil)\b[\s,;|]*)+")
-QUOTED = re.compile(r"[\"“„«‚‘「『][^\"“”„«»「」『』]{0,200}[\"”“»’」』]|'[^'\s][^']{0,80}'(?!\w)")
+#: Quotes of any length; straight ones open before a word and close behind one.
+QUOTED = re.compile(r"(?<!\w)\"(?!\s)[^\"]*\"(?!\w)|[“„][^“”„]*[”“]|«[^«»]*»|[‚‘][^‚‘’]*[’‘]|「[^「」]*」|『[^『』]*』|(?<!\w)'[^'\s][^']*'(?!\w)")
+#: What parts a page's own title from the site's name.
+PARTS = re.compile(r"\s+(?:[|·•–—:»›-]|::)\s+")
+#: Words that a message may hold beside its phrases; they count only next to a phrase.
+GLUE = re.compile(
+    r"\b(?:sorry|oops|hm|please|the page|this page|the document|the site|the server|the service|to continue|first|ref|error|reference|oups|désolé|malheureusement|la page|le document|le serveur|cette adresse"
+    r"|die seite|das dokument|der server|fehler|bitte|lo sentimos|el documento|la dirección|el servidor|por favor|la pagina|a página)\b"
+)
+#: Words by which a sentence on scripts asks for them, in the languages of PHRASES.
+NEED = re.compile(
+    r"\b(?:allow|enable|activate|switch|turn|needs?|requires?|required|without|must|disabled|off|blocks?|ohne|aktivier\w*|erlauben|benötig\w*|sans|activ\w*|autoris\w*|nécessite|sin|habilit\w*|necesita|permit\w*|senza|attiv\w*"
+    r"|abilit\w*|sem|ative|zonder|inschakel\w*|schakel|utan|aktivera|slå|bez|włącz\w*|etkinleştir\w*|olmadan|включит\w*|без|увімкн\w*|ενεργοποι\w*|χωρίς)\b|有効|なし|启用|没有|تفعيل|بدون",
+    re.I,
+)
+SENTENCE = re.compile(r"[^.!?。！？؟]+")
 SCRIPTING = re.compile(r"java ?script|\bscript(?:s|ing)?\b|\bskript\w*|скрипт|スクリプト|脚本|جافا", re.I)
-NOTICE_LENGTH = 140
+LEAST_CUT = 8  # letters of a phrase that a cut title ends within
 TECHNICAL = re.compile(r"(?:php )?(?:fatal error|parse error|warning): .{0,80}(?:exception|error|unexpected)|uncaught \w*(?:exception|error)|sqlstate\[|traceback \(most recent|exception in thread", re.I)
 LETTERS = re.compile(r"[^\W_]", re.U)
 
@@ -96,7 +112,7 @@ def automaton() -> ahocorasick.Automaton:
     for kind, text in PHRASES.items():
         for phrase in re.split(r"[|\n]", text.strip()):
             a.add_word(phrase, (kind, len(phrase)))
-    scripting = "javascript java script skript скрипт スクリプト 脚本 جافا".split()
+    scripting = "javascript java script skript скрипт スクリプト 脚本 جافا".split()  # what SCRIPTING finds
     rare_filler = "eiusmod incididunt consectetur lorem fugiat nostrud laborum veniam mollit culpa".split()
     for opening in OPENINGS + scripting + rare_filler:
         if opening not in a:
@@ -105,6 +121,11 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+@lru_cache(maxsize=1)
+def longest_phrase() -> int:
+    return max(map(len, automaton()))
+
+
 def fold(text: str) -> str:
     """Lower case of the same length: the capital dotted I is the one letter whose lower case is longer."""
     return text.replace("\u0130", "i").lower()
@@ -120,7 +141,12 @@ def filler(low: str, quotes: bool = False) -> bool:
 def touched(title: str, blocks: list[Block]) -> bool:
     """Whether anything of a page can be residue at all: one run over its text. Blanked samples may leave other text, so they are checked in full."""
     texts = fold("\n".join([title, *[b.text for b in blocks]]))
-    return next(automaton().iter(texts), None) is not None or any(b.sample for b in blocks) or any(filler(t, True) for t in texts.split("\n"))
+    return (
+        next(automaton().iter(texts), None) is not None
+        or any(b.sample for b in blocks)
+        or _cut_phrase(fold(title)) is not None
+        or any(filler(t, True) or _cut_phrase(t) is not None for t in texts.split("\n"))
+    )
 
 
 def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
@@ -128,7 +154,7 @@ def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
 
     Quoted parts and code samples are blanked first. A text without samples, in which the automaton finds nothing and that isn't filler, has no kinds.
     """
-    if not samples and next(automaton().iter(low := fold(text)), None) is None and not filler(low, True):
+    if not samples and next(automaton().iter(low := fold(text)), None) is None and not filler(low, True) and _cut_phrase(low) is None:
         return {}
     return _kinds_in_full(text, samples)
 
@@ -155,8 +181,13 @@ def _kinds_in_full(text: str, samples: list[str] = ()) -> dict[str, float]:
             if (a and low[a - 1].isalnum() and low[a].isalnum() and low[a] < "⺀") or (b < len(low) and low[b].isalnum() and low[b - 1].isalnum() and low[b - 1] < "⺀"):
                 continue
             spans.setdefault(kind, []).append((a, b))
+    if cut := _cut_phrase(low):
+        spans.setdefault(cut[0], []).append(cut[1:])
+    glue = [m.span() for m in GLUE.finditer(low)] if "e" in spans or "s" in spans else []
     for kind, places in spans.items():
         covered = bytearray(len(low))
+        if kind != "f":
+            places = places + glue
         for a, b in places:
             covered[a:b] = b"\1" * (b - a)
         share = sum(c and ch.isalnum() for c, ch in zip(covered, low)) / n
@@ -164,29 +195,55 @@ def _kinds_in_full(text: str, samples: list[str] = ()) -> dict[str, float]:
     return out
 
 
+def _cut_phrase(low: str) -> tuple[str, int, int] | None:
+    """Kind and place of a phrase that the text ends within, as titles are cut at some length; the longest one."""
+    for a in range(max(0, len(low) - longest_phrase()), len(low) - LEAST_CUT + 1):
+        if (not a or not low[a - 1].isalnum()) and automaton().match(low[a:]):
+            kind = next(automaton().values(low[a:]))[0]
+            return None if kind == "t" else (kind, a, len(low))
+    return None
+
+
+def asks_for_scripts(text: str) -> float:
+    """Share of a text that lies in sentences that ask for scripts."""
+    if not SCRIPTING.search(text):
+        return 0.0
+    sentences = SENTENCE.findall(text)
+    return sum(len(x) for x in sentences if SCRIPTING.search(x) and NEED.search(x)) / max(1, sum(map(len, sentences)))
+
+
+def head_is_residue(title: str) -> bool:
+    """Whether a title, or the part of it that stands beside the site's name, is a field, filler or a message."""
+    for part in {title, *PARTS.split(title)}:
+        kinds = kinds_of(part)
+        if kinds.get("t") or kinds.get("f", 0) >= BLOCK_COVERAGE or kinds.get("e", 0) >= HEAD_COVERAGE or kinds.get("s", 0) >= HEAD_COVERAGE:
+            return True
+    return False
+
+
 def is_residue(title: str, blocks: list[Block], main: list[bool]) -> bool:
     """Whether title or main body is, or in part holds, residue instead of content.
 
     A page without blocks is judged by its title. Script notices count only where nothing else stands for content.
     """
-    head = kinds_of(title)
-    if head.get("t") or head.get("f", 0) >= BLOCK_COVERAGE or head.get("e", 0) >= 0.6 or head.get("s", 0) >= 0.6:
+    if head_is_residue(title):
         return True
     body = bad = notices = 0
     for b, m in zip(blocks, main):
-        if not m and not b.noscript:
-            continue
-        if b.hidden:
+        asks = not m and not b.noscript and SCRIPTING.search(b.text) is not None  # a notice need not stand in the main body
+        if b.hidden or not (m or b.noscript or asks):
             continue
         kinds = kinds_of(b.text, b.sample)
         n = len(b.text)
         if m and (kinds.get("t") or kinds.get("f", 0) >= BLOCK_COVERAGE):
             return True
-        heading = b.path[-1:] and b.path[-1][:2] in ("h1", "h2") or b.text.lower() == title.lower()
-        if kinds.get("e", 0) >= BLOCK_COVERAGE:
-            bad, body = bad + n, body + n
-        elif kinds.get("s", 0) >= BLOCK_COVERAGE or (n <= NOTICE_LENGTH and SCRIPTING.search(b.text)):
+        top = b.path[-1:] and b.path[-1][:2] in ("h1", "h2")
+        if m and top and b.path[-1][:2] == "h1" and kinds.get("e", 0) >= HEAD_COVERAGE:
+            return True
+        if kinds.get("s", 0) >= BLOCK_COVERAGE or asks_for_scripts(b.text) >= BLOCK_COVERAGE:
             notices += n
-        elif m and not heading:
+        elif not asks and kinds.get("e", 0) >= BLOCK_COVERAGE:
+            bad, body = bad + n, body + n
+        elif m and not (top or b.text.lower() == title.lower()):
             body += n
     return (bad + notices > 0) and bad + notices >= PAGE_COVERAGE * (body + notices) and (bad > 0 or body == 0)
