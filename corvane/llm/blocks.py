@@ -16,6 +16,7 @@ from zlib import crc32
 import numpy as np
 
 TAG_BUCKETS, WORD_BUCKETS = 64, 256
+DEEPEST = 512  # levels; what opens below stands beside, as in browsers, whose parsers have this bound
 
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|\n|[^<\n]+|<[!?][^>]*>|<")
 _RAW = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
@@ -55,7 +56,7 @@ def tag_name(tag: str, attributes: str) -> tuple[str, bool]:
             elif key == "hidden":
                 hidden = True
             elif value:
-                name += f".{key[0]}:" + re.sub(r"\d+", "9", value)[:40]
+                name += f".{key[0]}:" + re.sub(r"\d+", "9", value)
     return name, hidden
 
 
@@ -118,11 +119,14 @@ def parse(html: str | None) -> tuple[str, list[Block]]:
                     hidden -= stack[-1][2]
                     stack.pop()
                 name, hides = tag_name(tag, m[3])
+                if len(stack) >= DEEPEST:
+                    _, _, h = stack.pop()
+                    hidden -= h
                 stack.append((tag, name, hides))
                 hidden += hides
                 sample += tag == "pre"
                 noscript += tag == "noscript"
-            names = tuple([s[1] for s in stack[-6:]])
+            names = tuple([s[1] for s in stack])
             continue
         piece = m[0]
         if piece == "\n":
@@ -145,7 +149,7 @@ def parse(html: str | None) -> tuple[str, list[Block]]:
                 now = blocks[-1]
                 now.text += " "
             else:
-                now = Block(line, names + tuple(inline[:2]), hidden=hidden > 0, noscript=noscript > 0)
+                now = Block(line, names + tuple(inline), hidden=hidden > 0, noscript=noscript > 0)
                 blocks.append(now)
             now.links += "a" in inline
             inline.clear()
@@ -178,16 +182,44 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _unspaced(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of bytes with the signs of East Asian scripts as breaks, and the places at which a new word begins.
+
+    Each character of a script that is written without spaces (kana, Han, Thai, Lao, Burmese, Khmer) is a word.
+    """
+    opens = np.zeros(len(u), bool)
+    lead = np.flatnonzero(u[: len(u) - 2] >= 0xE0)
+    a, b, c = u[lead], u[lead + 1], u[lead + 2]
+    sign = ((a == 0xE3) & (b == 0x80)) | ((a == 0xE2) & (b == 0x80)) | ((a == 0xEF) & (b == 0xBC) & ((c < 0x90) | ((c > 0x99) & (c < 0xA1)))) | (
+        (a == 0xEF) & (b == 0xBD) & (c < 0xA6) & ((c > 0x9A) | (c < 0x81)))
+    for k in range(3):
+        v[lead[sign] + k] = 0
+    alone = ~sign & (((a >= 0xE3) & (a <= 0xE9)) | ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & ((b <= 0x82) | (b == 0x9E))))
+    opens[lead[alone]] = True
+    after = lead[alone] + 3
+    opens[after[after < len(u)]] = True
+    return v, opens
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts, and the text that it stands in. Digits are alike, case doesn't count."""
+    """Hash of each word of the texts, and the text that it stands in. Digits are alike, case doesn't count.
+
+    Scripts without spaces between words give a word for each character.
+    """
     raw = "\n".join(texts).encode("utf-8", "replace")
     u = np.frombuffer(raw, np.uint8)
     if not len(u):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     v = _BYTE[u]
+    opens = np.zeros(len(u), bool)
+    if (u >= 0xE0).any():
+        v, opens = _unspaced(u, v.copy())
     inside = v > 0
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edge[::2], edge[1::2]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | opens[1:]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | opens[1:]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers(len(u))
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power, dtype=np.uint64)])
@@ -198,15 +230,16 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(breaks, starts)
 
 
-NUMBERS = 16
+NUMBERS = 18
+_PARTING = re.compile(r"[,;|/•·#]")
 
 
 @lru_cache(maxsize=50_000)
 def path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Buckets of a path's names with their depth from below, of the bare tags, and of the lowest pair."""
+    """Buckets of all of a path's names with their depth from below, of the bare tags, and of the lowest pair; each once."""
     own = [f"{len(path) - i if len(path) - i < 3 else 3}>{name}" for i, name in enumerate(path)]
     own += [f"in {name.split('.')[0]}" for name in path] + ["+".join(p.split(".")[0] for p in path[-2:])]
-    return tuple(crc32(x.encode()) % TAG_BUCKETS for x in own)
+    return tuple(crc32(x.encode()) % TAG_BUCKETS for x in dict.fromkeys(own))
 
 
 def vectors(pages: list[tuple[str, list[Block]]]) -> np.ndarray:
@@ -217,6 +250,9 @@ def vectors(pages: list[tuple[str, list[Block]]]) -> np.ndarray:
         return out
     h, at = word_hashes([b.text for b in blocks])
     words = np.bincount(at, minlength=len(blocks)).astype(np.float32)
+    order = np.lexsort((h, at))
+    again_word = order[1:][(h[order[1:]] == h[order[:-1]]) & (at[order[1:]] == at[order[:-1]])]
+    repeated = np.bincount(at[again_word], minlength=len(blocks)) / np.maximum(words, 1)
     cell = at * WORD_BUCKETS + ((h >> np.uint64(33)) % np.uint64(WORD_BUCKETS)).astype(np.int64)
     bag = np.bincount(cell, minlength=len(blocks) * WORD_BUCKETS).reshape(len(blocks), WORD_BUCKETS)
     out[:, TAG_BUCKETS : TAG_BUCKETS + WORD_BUCKETS] = bag / np.sqrt(np.maximum(words, 1))[:, None]
@@ -239,7 +275,7 @@ def vectors(pages: list[tuple[str, list[Block]]]) -> np.ndarray:
                 np.log1p(size), words[k], b.linked / size, b.links, t[-1] in ".!?。！？؟:", "©" in t, i / n, n,
                 bool(heading) and (t.lower() == heading or heading.startswith(t.lower()) and size > 12), "|" in t or "›" in t, t[0].islower(), again > 0,
                 t.endswith(")") and t[-2:-1].isdigit(), bs[i - 1].path == b.path if i else False,
-                t.count("#") > 1, b.hidden,
+                t.count("#") > 1, b.hidden, repeated[k], min(1.0, len(_PARTING.findall(t)) / max(words[k], 1)),
             ))
             k += 1
     np.add.at(out, (np.array(rows), np.array(cells)), 0.5)

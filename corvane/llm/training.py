@@ -15,6 +15,8 @@ import numpy as np
 
 from corvane.llm.blocks import NUMBERS, TAG_BUCKETS, WORD_BUCKETS, Block, parse, vectors
 from corvane.llm.labeller import BiLSTM
+from corvane.llm.residue import asks_for_scripts
+from corvane.llm.stuffing import ITEM_WORDS, LISTED_ITEMS
 
 SAMPLE_PAGES = 12_000
 
@@ -27,9 +29,22 @@ NOTICE = re.compile(
     r"|kleine dateien|in your browser\.|in ihrem browser|en su navegador|dans votre navigateur",
     re.I,
 )
+LABELS = re.compile(r"[,;|/•·#]")
 COUNTED = re.compile(r"\(\d+\)$")
 
 
+def repeats_itself(text: str) -> bool:
+    """Whether a short text says the same word or words over and over."""
+    words = text.lower().split()
+    return len(words) >= 4 and 2 * len(set(words)) <= len(words)
+
+
+def is_list_of_labels(text: str) -> bool:
+    """Whether a text is many short items parted by signs instead of sentences."""
+    items = [x for x in LABELS.split(text) if x.strip()]
+    return len(items) >= LISTED_ITEMS and len(text.split()) <= (ITEM_WORDS + 1) * len(items) and not re.search(r"[.!?。] ", text)
+
+
 def teach(blocks: list[Block]) -> list[int]:
     """1 for main body, 0 for the rest."""
     out, comments, teasers = [], False, False
@@ -43,6 +58,8 @@ def teach(blocks: list[Block]) -> list[int]:
         main = 1
         if comments or any(LANDMARK.search(p) for p in b.path) or "©" in b.text or NOTICE.search(b.text):
             main = 0
+        elif repeats_itself(b.text) or (last.split(".")[0] in ("p", "div", "td") and not b.linked and is_list_of_labels(b.text)):
+            pass
         elif heading:
             teasers, main = True, 0
         elif b.linked > 0.55 * len(b.text) and last == "a" and not listed and not b.text.startswith("#"):
@@ -59,8 +76,14 @@ def teach(blocks: list[Block]) -> list[int]:
     plain = [i for i, b in enumerate(blocks) if out[i] and b.path and b.path[-1] == "div" and not b.hidden]
     other = any(out[i] and i not in plain and not (b.path and b.path[-1].startswith("h")) for i, b in enumerate(blocks))
     for i in plain:
+        if is_list_of_labels(blocks[i].text) or repeats_itself(blocks[i].text):
+            continue
         if other or not (i - 1 in plain or i + 1 in plain or (i and blocks[i - 1].path[-1:] == ("h1",))):
             out[i] = 0
+    if not any(v and not (b.path and b.path[-1].startswith("h")) for v, b in zip(out, blocks)):
+        for i, b in enumerate(blocks):  # nothing but a notice stands for the content
+            if asks_for_scripts(b.text) >= 0.5 and not any(LANDMARK.search(p) for p in b.path):
+                out[i] = 1
     return out
 
 
@@ -76,6 +99,12 @@ def as_tag_page(blocks: list[Block], labels: list[int], rng: random.Random) -> l
     return out
 
 
+def as_deep_page(blocks: list[Block], rng: random.Random) -> list[Block]:
+    """The page with more levels of plain containers below its outermost tags, as real pages nest deeper than samples."""
+    at, more = rng.randrange(1, 3), ("div",) * rng.randrange(1, 9)
+    return [Block(b.line, b.path[:at] + more + b.path[at:], b.text, b.linked, b.links, b.sample, b.hidden, b.noscript) if len(b.path) > 1 else b for b in blocks]
+
+
 def examples(bodies: list[str], seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, labels) of each page; some with the path or the words blanked."""
     rng, out = random.Random(seed), []
@@ -88,6 +117,8 @@ def examples(bodies: list[str], seed: int = 5) -> list[tuple[np.ndarray, np.ndar
         out.append((x, y))
         if rng.random() < 0.06 and sum(labels) > 1:
             out.append((vectors([(title, as_tag_page(blocks, labels, rng))]), y))
+        if rng.random() < 0.15:
+            out.append((vectors([(title, as_deep_page(blocks, rng))]), y))
         kind = rng.random()
         if kind < 0.25:
             blind = x.copy()
