@@ -1,7 +1,9 @@
 """Problems 1, 4 and 6 on crawled pages: main bodies, residue, stuffing. Each page's current body is parsed once.
 
-Bodies are shuffled once, to find the latest of each key, and joined with the pages' current states; everything else
-is a map. Pages without a body, with an empty one or without blocks give no rows.
+Bodies are shuffled once, to find the latest of each key, and joined with the pages' current states; parsing, labelling
+and residue are a map over them. Stuffing needs the counts of all main bodies, so the map's result, the blocks of each
+main body, is written as a table, which is counted and then judged. Pages without a body, with an empty one or without
+blocks give no rows.
 """
 
 from __future__ import annotations
@@ -9,13 +11,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corvane.llm import residue
 from corvane.llm.blocks import parse, vectors
 from corvane.llm.labeller import trained
 from corvane.llm.registry import query
-from corvane.llm.stuffing import Counts, corpus_counts, stuffed_shares
+from corvane.llm.stuffing import Counts, Part, corpus_counts, stuffed_shares
+from corvane.session import stored
 from corvane.sources.tables import bodies_of_pages, table
 
 PAGES_AT_ONCE = 400
@@ -37,9 +39,13 @@ def residue_flags(pages: list, main: list[list[bool]]) -> list[bool]:
     return [residue.touched(t, bs) and residue.is_residue(t, bs, m) for (t, bs), m in zip(pages, main)]
 
 
-def stuffed_flags(pages: list, main: list[list[bool]], counts: Counts) -> list[bool]:
-    keep = [[v or b.hidden for v, b in zip(m, bs)] for (_, bs), m in zip(pages, main)]
-    return (stuffed_shares([bs for _, bs in pages], counts, keep) > STUFFED).tolist()
+def parts_of(blocks: list, main: list[bool]) -> list[Part]:
+    """The blocks of a page that count for stuffing: main body, and whatever is hidden."""
+    return [Part(b.text, b.linked, b.path[-1] if b.path else "") for b, m in zip(blocks, main) if m or b.hidden]
+
+
+def stuffed_flags(parts: list[list[Part]], counts: Counts) -> list[bool]:
+    return (stuffed_shares(parts, counts) > STUFFED).tolist()
 
 
 def _over(bodies: DataFrame, work, schema: str) -> DataFrame:
@@ -56,22 +62,50 @@ def _over(bodies: DataFrame, work, schema: str) -> DataFrame:
     return bodies.select("id", "html").mapInArrow(run, schema)
 
 
-def main_lines(bodies: DataFrame, counts: Counts) -> DataFrame:
-    """(page_id, line_no) of the lines that show text of the main body; none for pages of residue or stuffing."""
-    shared = bodies.sparkSession.sparkContext.broadcast(counts)
+MAIN_BODIES = "page_id bigint, residue boolean, lines array<int>, texts array<string>, linked array<int>, tags array<string>"
+
+
+def main_bodies(bodies: DataFrame) -> DataFrame:
+    """A row per body, in a stored table: whether it is residue, the lines that show main body, and the blocks for stuffing."""
 
     def work(ids, pages):
         main = main_blocks(pages)
-        bad = [a or b for a, b in zip(residue_flags(pages, main), stuffed_flags(pages, main, shared.value))]
-        who, line = [], []
-        for i, (_, bs), m, skip in zip(ids, pages, main, bad):
-            if not skip:
-                lines = sorted({b.line for b, v in zip(bs, m) if v and not b.hidden})
-                who += [i] * len(lines)
-                line += lines
-        return [pa.array(who, pa.int64()), pa.array(line, pa.int32())]
+        parts = [parts_of(bs, m) for (_, bs), m in zip(pages, main)]
+        return [
+            pa.array(ids, pa.int64()), pa.array(residue_flags(pages, main), pa.bool_()),
+            pa.array([sorted({b.line for b, v in zip(bs, m) if v and not b.hidden}) for (_, bs), m in zip(pages, main)], pa.list_(pa.int32())),
+            pa.array([[x.text for x in p] for p in parts], pa.list_(pa.string())),
+            pa.array([[x.linked for x in p] for p in parts], pa.list_(pa.int32())), pa.array([[x.tag for x in p] for p in parts], pa.list_(pa.string())),
+        ]
+
+    return stored(_over(bodies, work, MAIN_BODIES))
+
+
+def _judged(mains: DataFrame, counts: Counts, columns: list[str], work, schema: str) -> DataFrame:
+    """Maps the table of main bodies with work(rows of the columns, whether each is stuffed) -> arrays."""
+    shared = mains.sparkSession.sparkContext.broadcast(counts)
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(lo, PAGES_AT_ONCE)
+                texts, linked, tags = (part.column(c).to_pylist() for c in ("texts", "linked", "tags"))
+                flags = stuffed_flags([[Part(*x) for x in zip(*p)] for p in zip(texts, linked, tags)], shared.value)
+                yield pa.RecordBatch.from_arrays(work([part.column(c) for c in columns], flags), names=names)
 
-    return _over(bodies, work, "page_id bigint, line_no int")
+    return mains.select("texts", "linked", "tags", *columns).mapInArrow(run, schema)
+
+
+def main_lines(mains: DataFrame, counts: Counts) -> DataFrame:
+    """(page_id, line_no) of the lines that show text of the main body; none for pages of residue or stuffing."""
+
+    def work(columns, stuffed):
+        ids, residual, lines = (c.to_pylist() for c in columns)
+        keep = [(i, x) for i, r, x, s in zip(ids, residual, lines, stuffed) if not (r or s)]
+        return [pa.array([i for i, x in keep for _ in x], pa.int64()), pa.array([n for _, x in keep for n in x], pa.int32())]
+
+    return _judged(mains, counts, ["page_id", "residue", "lines"], work, "page_id bigint, line_no int")
 
 
 def main_texts(bodies: DataFrame) -> DataFrame:
@@ -97,32 +131,24 @@ def residue_pages(bodies: DataFrame) -> DataFrame:
     return _over(bodies, work, "page_id bigint")
 
 
-def stuffed_pages(bodies: DataFrame, counts: Counts) -> DataFrame:
-    """(page_id) of stuffed pages; residue, whose labels repeat as well, is left to p4. Only pages in which any block is stuffed are labelled."""
-    shared = bodies.sparkSession.sparkContext.broadcast(counts)
+def stuffed_pages(mains: DataFrame, counts: Counts) -> DataFrame:
+    """(page_id) of stuffed pages; residue, whose labels repeat as well, is left to p4."""
 
-    def work(ids, pages):
-        own = shared.value
-        at = np.flatnonzero(stuffed_shares([bs for _, bs in pages], own) > 0).tolist()
-        some = [pages[k] for k in at]
-        main = main_blocks(some)
-        hit = [a and not b for a, b in zip(stuffed_flags(some, main, own), residue_flags(some, main))]
-        return [pa.array([ids[k] for k, h in zip(at, hit) if h], pa.int64())]
+    def work(columns, stuffed):
+        ids, residual = (c.to_pylist() for c in columns)
+        return [pa.array([i for i, r, s in zip(ids, residual, stuffed) if s and not r], pa.int64())]
 
-    return _over(bodies, work, "page_id bigint")
+    return _judged(mains, counts, ["page_id", "residue"], work, "page_id bigint")
 
 
 def bodies(spark, where) -> DataFrame:
     return bodies_of_pages(table(spark, where, "pages"), table(spark, where, "html_objects"))
 
 
-def counts_of(spark, where) -> Counts:
-    return corpus_counts(table(spark, where, "html_objects").where(F.col("html").isNotNull()), "html")
-
-
 @query("p1_found")
 def p1_found(spark, where):
-    return main_lines(bodies(spark, where), counts_of(spark, where))
+    mains = main_bodies(bodies(spark, where))
+    return main_lines(mains, corpus_counts(mains, "texts"))
 
 
 @query("p1_texts")
@@ -137,4 +163,5 @@ def p4_found(spark, where):
 
 @query("p6_found")
 def p6_found(spark, where):
-    return stuffed_pages(bodies(spark, where), counts_of(spark, where))
+    mains = main_bodies(bodies(spark, where))
+    return stuffed_pages(mains, corpus_counts(mains, "texts"))

@@ -96,7 +96,13 @@ def test_residue():
                  ARTICLE + "<p>Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor.</p>\n", "<p>Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.</p>\n",
                  "<p>Accès refusé. Vous n'avez pas les droits pour voir cette page.</p>\n", "<p>null</p>\n"):
         assert flag(page(main)), main
-    assert flag(page(ARTICLE, "__meta_title__"))
+    for title in ("__meta_title__", "undefined | Torvik Notes", "%marsh.label% - Torvik", "{seo_h1} - Torvik", "Page title", "Sorry, the page cannot be shown right no", "__loom.name__"):
+        assert flag(page(ARTICLE, title)), title
+    for title in ("How the shell reads null values", "An undefined place | Torvik Notes", "Sorry seems to be the hardest word to say in the valley"):
+        assert not flag(page(ARTICLE, title)), title
+    long = "a" * 300
+    assert flag(page(ARTICLE + f"<p>{{{{ {long} }}}}</p>\n")) and not flag(page(ARTICLE + f"<p>He wrote “{'so ' * 150} {{{{ title }}}} and so on” to them.</p>\n"))
+    assert flag(page('<div id="root">Please switch on scripts in your browser.</div>\n')) and flag(page("<p>First allow JavaScript to see Torvik.</p>\n"))
     for main in ("<p>Write the field between braces:</p>\n<pre>{{ title }}</pre>\n", "<p>The shell replaces <code>${HOME}</code> before it reads the line.</p>\n",
                  "<p>A server answers “404 not found” when an address is missing, and the crawler writes that down.</p>\n"):
         assert not flag(page(ARTICLE + main)), main
@@ -120,28 +126,64 @@ def test_early_exit_changes_nothing():
     assert residue.kinds_of("notxfound", ["x"]) == residue._kinds_in_full("notxfound", ["x"]) and residue.kinds_of("A plain sentence.") == {}
 
 
+WORDS = "quarry bridge candle river orchard letter ferry museum winter garden engine marble harbour violin lantern tunnel pepper saddle copper meadow".split()
+RUNNING = [f"<p>The {a} near the old {b} was opened in spring, and nobody who saw it asked why the {b} should keep its {a} so long.</p>\n" for a in WORDS for b in WORDS if a < b]
+KEYWORDS = "cheap oak table best oak table buy oak table online oak table price " * 12
+
+
+def corpus(*more):
+    pages = [page("".join(RUNNING[i : i + 6])) for i in range(0, len(RUNNING), 6)] + [page(x) for x in more]
+    return [b.text for html in pages for b, m in zip(parse(html)[1], P.main_blocks([parse(html)])[0]) if m]
+
+
+def stuffed(html, own):
+    parsed = parse(html)
+    return P.stuffed_flags([P.parts_of(parsed[1], P.main_blocks([parsed])[0])], own)[0]
+
+
 def test_stuffing():
-    natural, words = page(ARTICLE), "cheap oak table best oak table buy oak table online oak table price " * 12
-    counts = [np.zeros(stuffing.CELLS, np.int64) for _ in range(2)]
-    stuffing.count_texts([natural] * 30 + [page(f"<p>{words}</p>\n"), None, ""], *counts)
-    own = stuffing.Counts(*counts)
-
-    def stuffed(html):
-        parsed = [parse(html)]
-        return P.stuffed_flags(parsed, P.main_blocks(parsed), own)[0]
-
-    assert not stuffed(natural) and stuffed(page(f"<p>{words}</p>\n")) and stuffed(page(f'<p>One sentence stands here for show.</p>\n<div style="display:none">{words}</div>\n'))
-    assert stuffed(page("".join("<p>" + " ".join(f'<a href="http://s{i}.test/x-{j}">#tag{j}</a>' for j in range(6)) + "</p>\n" for i in range(5))))
-    assert not stuffed(page(ARTICLE + "<ul>\n" + "<li>12 oak tables</li>\n" * 8 + "</ul>\n"))
+    own = stuffing.Counts.of(corpus(f"<p>{KEYWORDS}</p>\n"))
+    assert not stuffed(page(ARTICLE), own) and not any(stuffed(page("".join(RUNNING[i : i + 4])), own) for i in range(0, 40, 4))
+    assert stuffed(page(f"<p>{KEYWORDS}</p>\n"), own) and stuffed(page(f'<p>One sentence stands here for show.</p>\n<div style="display:none">{KEYWORDS}</div>\n'), own)
+    assert stuffed(page("".join("<p>" + " ".join(f'<a href="http://s{i}.test/x-{j}">#tag{j}</a>' for j in range(6)) + "</p>\n" for i in range(5))), own)
+    assert stuffed(page('<a href="/x">oak table oak table oak table oak table</a>\n' * 5), own)
+    assert not stuffed(page(ARTICLE + "<ul>\n" + "<li>12 oak tables</li>\n" * 8 + "</ul>\n"), own)
+    subject = "".join(f"<p>The oak table of room {i} was {x}, as the oak table beside the {x} window had always been when {y} came to see it.</p>\n" for i, (x, y) in enumerate(zip(WORDS, WORDS[5:])))
+    assert not stuffed(page(subject), own)
     assert stuffing.stuffed_shares([], own).tolist() == [] and stuffing.stuffed_shares([[]], own).tolist() == [0]
 
 
+def test_sentence_shaped_stuffing_and_unspaced_scripts():
+    own = stuffing.Counts.of(corpus())
+    assert stuffed(page("<p>" + "Buy cheap oak table best oak chair price. " * 15 + "</p>\n"), own)
+    assert stuffed(page("<p>" + "激安オークテーブル通販、最安オークテーブル、オークテーブル価格。" * 8 + "</p>\n"), own)
+    assert not stuffed(page("<p>博物館は来週のあいだに渡し船の時刻表を比べています。古い工房は早朝から短いメモをたくさん公開しています。港の会は月末まで天気の報告を読んでいます。</p>\n"), own)
+
+
+def test_salad_needs_the_pmi(monkeypatch):
+    rng = np.random.default_rng(4)
+    own = stuffing.Counts.of(corpus())
+    every = "the near old was opened in spring and nobody who saw it asked why should keep its so long".split() + WORDS
+    salads = ["<p>" + " ".join(rng.choice(every, 60)) + "</p>\n", "<p>" + " ".join(" ".join(rng.choice(every, 9)).capitalize() + "." for _ in range(8)) + "</p>\n"]
+    assert all(stuffed(page(s), own) for s in salads)
+    mean, pairs = stuffing.coherence(*stuffing.word_hashes([" ".join(rng.choice(WORDS, 60)), RUNNING[3][3:-5]]), np.zeros(2, int), 2, own)
+    assert mean[0] < stuffing.SALAD < 0 < mean[1] and pairs[0] == 59  # unseen pairs lower the mean
+    monkeypatch.setattr(stuffing, "SALAD", -2.0)  # the PMI test off
+    assert not any(stuffed(page(s), own) for s in salads)
+
+
+def test_a_page_does_not_vouch_for_itself():
+    salad = " ".join(np.random.default_rng(5).choice(WORDS, 60))
+    own = stuffing.Counts.of(corpus(f"<p>{salad}</p>\n"))
+    h, at = stuffing.word_hashes([salad])
+    assert stuffing.coherence(h, at, np.zeros(1, int), 1, own)[0][0] < stuffing.SALAD
+
+
 def test_short_items_that_repeat_a_third_of_their_words():
-    own = stuffing.Counts(*(np.zeros(stuffing.CELLS, np.int64) for _ in range(2)))
+    own = stuffing.Counts.of([])
 
     def share(text):
-        blocks = parse(f"<p>{text}</p>")[1]
-        return stuffing.stuffed_shares([blocks], own)[0]
+        return stuffing.stuffed_shares([[stuffing.Part(text, 0, "p")]], own)[0]
 
     labels = "amber bolt, brass hinge, cedar bolt, dusk lamp, elm bolt, fern hinge, glass vase, hazel hinge, iron bolt"
     words = labels.replace(",", "").split()
@@ -151,23 +193,39 @@ def test_short_items_that_repeat_a_third_of_their_words():
 
 
 def test_frames(spark):
-    words = "cheap oak table best oak table buy oak table online oak table price " * 12
-    rows = [(1, page(ARTICLE)), (2, page("<p>[[title]]</p>\n")), (3, page(f"<p>{words}</p>\n")), (4, None), (5, ""), (6, "<p>")]
+    rows = [(1, page(ARTICLE)), (2, page("<p>[[title]]</p>\n")), (3, page(f"<p>{KEYWORDS}</p>\n")), (4, None), (5, ""), (6, "<p>")]
     bodies = spark.createDataFrame(rows, "id bigint, html string").withColumn("page_id", F.lit("clash"))
-    counts = stuffing.corpus_counts(bodies, "html")
-    lines = sorted((r.page_id, r.line_no) for r in P.main_lines(bodies, counts).collect())
+    mains = P.main_bodies(bodies)
+    counts = stuffing.corpus_counts(mains, "texts")
+    lines = sorted((r.page_id, r.line_no) for r in P.main_lines(mains, counts).collect())
     assert lines == [(1, n) for n in range(9, 15)]
     assert [r.page_id for r in P.residue_pages(bodies).collect()] == [2]
-    assert [r.page_id for r in P.stuffed_pages(bodies, counts).collect()] == [3]
+    assert [r.page_id for r in P.stuffed_pages(mains, counts).collect()] == [3]
     texts = {r.page_id: r.text for r in P.main_texts(bodies).collect()}
     assert texts[1].startswith("How the quarry") and "Contact" not in texts[1] and texts[4] == ""
-    none = bodies.limit(0)
-    assert P.main_lines(none, stuffing.corpus_counts(none, "html")).count() == 0
+    none = P.main_bodies(bodies.limit(0))
+    assert P.main_lines(none, stuffing.corpus_counts(none, "texts")).count() == 0
 
 
 def test_counts_are_exact_sums(spark):
-    rows = [(i, page(ARTICLE)) for i in range(40)]
-    counts = stuffing.corpus_counts(spark.createDataFrame(rows, "id bigint, html string").repartition(5), "html")
-    words, pairs = (np.zeros(stuffing.CELLS, np.int64) for _ in range(2))
-    stuffing.count_texts([h for _, h in rows], words, pairs)
-    assert (counts.words == words).all() and (counts.pairs == pairs).all()
+    rows = [(i, RUNNING[i : i + 3] + [None, ""]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id bigint, texts array<string>").repartition(5)
+    counts, whole = stuffing.corpus_counts(frame, "texts"), stuffing.Counts.of([t for _, ts in rows for t in ts if t])
+    for mine, theirs in ((counts.words, whole.words), (counts.pairs, whole.pairs)):
+        kept = theirs.counts >= stuffing.LEAST_COUNT
+        assert mine.total == theirs.total and (mine.keys == theirs.keys[kept]).all() and (mine.counts == theirs.counts[kept]).all()
+
+
+def test_landmarks_far_above_are_seen():
+    levels = 9
+    deep = page(ARTICLE).replace("<nav>\n", "<nav>\n" + "<div>" * levels + "<ul>\n").replace("</nav>", "</ul>" + "</div>" * levels + "</nav>")
+    parsed = parse(deep)
+    assert max(len(b.path) for b in parsed[1]) > levels and [b.text for b, m in zip(parsed[1], P.main_blocks([parsed])[0]) if m and "link" not in b.text][0].startswith("How the quarry")
+    assert not any(m for b, m in zip(parsed[1], P.main_blocks([parsed])[0]) if "nav" in b.path)
+    bottomless = parse("<div>" * 3000 + "text" + "</div>" * 3000)[1]
+    assert [b.text for b in bottomless] == ["text"] and len(bottomless[0].path) == 512
+
+
+def test_words_of_unspaced_scripts():
+    h, at = word_hashes(["冬の新しい、レシピ。 abc", "ไทย x", "日"])
+    assert at.tolist() == [0] * 9 + [1] * 4 + [2]
