@@ -145,21 +145,21 @@ def touched(title: str, blocks: list[Block]) -> bool:
         next(automaton().iter(texts), None) is not None
         or any(b.sample for b in blocks)
         or _cut_phrase(fold(title)) is not None
-        or any(filler(t, True) or _cut_phrase(t) is not None for t in texts.split("\n"))
+        or any(filler(t, True) for t in texts.split("\n"))
     )
 
 
-def kinds_of(text: str, samples: list[str] = ()) -> dict[str, float]:
+def kinds_of(text: str, samples: list[str] = (), cut: bool = False) -> dict[str, float]:
     """Share of a text's letters covered by phrases of each kind; "t" for template fields: 1 if there is one.
 
-    Quoted parts and code samples are blanked first. A text without samples, in which the automaton finds nothing and that isn't filler, has no kinds.
+    With cut, as for titles, a phrase that the text ends within counts. Quoted parts and code samples are blanked first. A text without samples, in which the automaton finds nothing and that isn't filler, has no kinds.
     """
-    if not samples and next(automaton().iter(low := fold(text)), None) is None and not filler(low, True) and _cut_phrase(low) is None:
+    if not samples and next(automaton().iter(low := fold(text)), None) is None and not filler(low, True) and not (cut and _cut_phrase(low)):
         return {}
-    return _kinds_in_full(text, samples)
+    return _kinds_in_full(text, samples, cut)
 
 
-def _kinds_in_full(text: str, samples: list[str] = ()) -> dict[str, float]:
+def _kinds_in_full(text: str, samples: list[str] = (), cut: bool = False) -> dict[str, float]:
     for s in samples:
         text = text.replace(s.strip(), " ") if s.strip() else text
     bare = QUOTED.sub(lambda m: " " * len(m[0]) if not FIELD.fullmatch(m[0]) and "('" not in text[max(0, m.start() - 2) : m.end()] else m[0], text)
@@ -181,8 +181,8 @@ def _kinds_in_full(text: str, samples: list[str] = ()) -> dict[str, float]:
             if (a and low[a - 1].isalnum() and low[a].isalnum() and low[a] < "⺀") or (b < len(low) and low[b].isalnum() and low[b - 1].isalnum() and low[b - 1] < "⺀"):
                 continue
             spans.setdefault(kind, []).append((a, b))
-    if cut := _cut_phrase(low):
-        spans.setdefault(cut[0], []).append(cut[1:])
+    if cut and (tail := _cut_phrase(low)):
+        spans.setdefault(tail[0], []).append(tail[1:])
     glue = [m.span() for m in GLUE.finditer(low)] if "e" in spans or "s" in spans else []
     for kind, places in spans.items():
         covered = bytearray(len(low))
@@ -215,7 +215,7 @@ def asks_for_scripts(text: str) -> float:
 def head_is_residue(title: str) -> bool:
     """Whether a title, or the part of it that stands beside the site's name, is a field, filler or a message."""
     for part in {title, *PARTS.split(title)}:
-        kinds = kinds_of(part)
+        kinds = kinds_of(part, cut=True)
         if kinds.get("t") or kinds.get("f", 0) >= BLOCK_COVERAGE or kinds.get("e", 0) >= HEAD_COVERAGE or kinds.get("s", 0) >= HEAD_COVERAGE:
             return True
     return False
