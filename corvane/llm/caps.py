@@ -2,12 +2,13 @@
 
 Each record gets the key  score / e ** spread,  e being an exponential random number derived from its id; the cap-size
 largest keys of a contributor stay. With spread 1 this is weighted sampling without replacement (exponential keys
-scaled by the score); with spread 0 the randomness is gone and the best scores stay, which is what p2_found asks for.
+scaled by the score); with spread 0 the randomness is gone and the best scores stay. TESTDATA.md fixes p2_found as the
+exact best eight of each host, so it is the reservoir with spread 0; p2_sample draws with spread 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +19,22 @@ from corvane.session import settle
 from corvane.sources.tables import page_hosts, table
 
 CAP = 8
+GROUP_LIMIT = 1000  # greatest cap for which Spark cuts a window's groups in each task before the shuffle
+
+
+def ranked_by_ranges(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """rows with _rank within their group, from 1, for groups of any size; the order must leave no ties.
+
+    Rows are partitioned by ranges of (group, order), numbered within each range and group, and raised by what the
+    group has in the ranges before: one row per group and range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settle(rows.repartitionByRange(parts, F.asc(group), *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(group, "_range").agg(F.count("*").alias("_size"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    inner = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)))
+    return inner.join(offsets, [group, "_range"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_range")
 
 
 def cap_per_contributor(
@@ -28,8 +45,9 @@ def cap_per_contributor(
 
     Give a cap or a share of all records (at least one record each). Scores that are null, NaN or negative count as
     0; equal keys keep the smaller record id. Records without a contributor are all kept. An empty table gives no
-    rows; other columns are ignored. Per contributor and task only cap rows are sorted and sent (the window's group
-    limit), then one threshold row per contributor is joined back, heavy contributors being salted.
+    rows; other columns are ignored. The record that holds the last place of each contributor is found, and joined back
+    with heavy contributors salted. Up to GROUP_LIMIT only cap rows per contributor and task are sorted and sent (the
+    window's group limit); beyond it the rows are ranked over ranges, so that no contributor lies in one task.
     """
     if (cap is None) == (share is None):
         raise ValueError("give either a cap or a share")
@@ -42,9 +60,12 @@ def cap_per_contributor(
     if cap is None:
         cap = max(1, int(rows.count() * share))
     named = rows.where(F.col("_who").isNotNull())
-    best = Window.partitionBy("_who").orderBy(F.desc("_key"), F.asc("_id"))
-    inside = named.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= cap)
-    limits = inside.where(F.col("_rank") == cap).select("_who", F.col("_key").alias("_least"), F.col("_id").alias("_last"))
+    if cap <= GROUP_LIMIT:
+        best = Window.partitionBy("_who").orderBy(F.desc("_key"), F.asc("_id"))
+        ranked = named.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= cap)
+    else:
+        ranked = ranked_by_ranges(named, "_who", F.desc("_key"), F.asc("_id"))
+    limits = ranked.where(F.col("_rank") == cap).select("_who", F.col("_key").alias("_least"), F.col("_id").alias("_last"))
     heavy = heavy_keys(named.groupBy("_who").agg(F.count("*").alias("_n")), "_who", "_n")
     kept = (
         F.col("_least").isNull()
@@ -72,3 +93,18 @@ def sample(spark, where):
     """The weighted sample: which pages stay and which fall out, per host."""
     drawn = cap_per_contributor(page_hosts(table(spark, where, "pages")), "host", "id", "pagerank", cap=CAP)
     return drawn.select("host", F.col("id").alias("page_id"), "kept")
+
+
+@query(
+    "p2_sample_sizes",
+    f"""WITH {NUM_PAGES} SELECT {HOST.format("url")} AS host, count(*) AS pages, least({CAP}, count(*)) AS kept, true AS weighted FROM cur GROUP BY 1""",
+)
+def sample_sizes(spark, where):
+    """Of each host the pages, and how many the weighted sample keeps; weighted: no page without score stays where one with a score falls out."""
+    drawn = cap_per_contributor(page_hosts(table(spark, where, "pages")), "host", "id", "pagerank", cap=CAP)
+    scored = F.col("pagerank") > 0
+    sizes = drawn.groupBy("host").agg(
+        F.count("*").alias("pages"), F.count_if("kept").alias("kept"),
+        F.count_if(~scored & F.col("kept")).alias("poor"), F.count_if(scored & ~F.col("kept")).alias("rich"),
+    )
+    return sizes.select("host", "pages", "kept", ((F.col("poor") == 0) | (F.col("rich") == 0)).alias("weighted"))

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,16 @@ def test_sample_is_weighted(spark):
     assert {r.id for r in again.collect()} == {r.id for r in kept.collect()}
 
 
+def test_large_caps_are_ranked_over_ranges(spark, monkeypatch):
+    rows, df = contributors(spark)
+    few = {(r.id, r.kept) for r in caps.cap_per_contributor(df, "who", "id", "score", cap=70, spread=0.0).collect()}
+    monkeypatch.setattr(caps, "GROUP_LIMIT", 10)
+    plan = caps.cap_per_contributor(df, "who", "id", "score", cap=70, spread=0.0)
+    assert {(r.id, r.kept) for r in plan.collect()} == few
+    ranked = caps.ranked_by_ranges(df.select("id", "who").where("who is not null"), "who", F.asc("id")).where("who = 'big'").orderBy("id").collect()
+    assert [r._rank for r in ranked] == list(range(1, 1001))
+
+
 def test_caps_edges(spark):
     _, df = contributors(spark, 50)
     assert caps.cap_per_contributor(df.limit(0), "who", "id", "score", cap=3).count() == 0
@@ -62,26 +73,77 @@ def urls(spark):
     return pages, raw, spark.createDataFrame([(p,) for p in pages + pages[:9] + [None]], "url string"), spark.createDataFrame(raw + raw[:50], "entry_id string, url string")
 
 
-def test_membership(spark):
-    pages, raw, p, f = urls(spark)
-    entries, first, answers, in_pages = membership.judge(p, f)
-    key = lambda u: ("http://h/" + u.rsplit("/", 1)[1].split("#")[0] if u and u.lower().startswith("http") else None)
-    known, want = set(pages), set()
+def key_of(u):
+    return "http://h/" + u.rsplit("/", 1)[1].split("#")[0] if u and u.lower().startswith("http") else None
+
+
+def seen_before(raw, known):
+    known, want = set(known), set()
     for e, u in sorted(raw, key=lambda x: tuple(map(int, x[0].split("-")))):
-        if k := key(u):
+        if k := key_of(u):
             want |= {e} if k in known else set()
             known.add(k)
-    told = first.join(in_pages.withColumn("known", F.lit(True)), "key", "left")
-    got = entries.join(told.select("key", "first_id", "known"), "key").where(F.col("known") | (F.col("entry_id") != F.col("first_id")))
-    assert {r.entry_id for r in got.collect()} == want
-    row = answers.agg(F.count("*").alias("n"), F.count_if("absent_claimed").alias("w")).first()
-    assert row.n == len({key(u) for _, u in raw} - {None}) and row.w <= 5
+    return want
+
+
+def test_membership(spark):
+    """A third of the entries has one key, so that its later entries go to other buckets."""
+    pages, raw, p, f = urls(spark)
+    answers, told = membership.judge(p, f)
+    want = seen_before(raw, pages)
+    rows = membership.verified(answers, told).collect()
+    assert {r.record for r in rows if r.seen} == want
+    assert {r.record for r in rows} == {e for e, u in raw if key_of(u)}
+    maybe = {r.record for r in rows if r.maybe}
+    assert want <= maybe and len(maybe - want) <= 5 and sum(r.absent_claimed for r in rows) <= 5
+    hot = [r for r in rows if r.key == "http://h/hot"]
+    assert len(hot) > 300 and sum(not r.maybe for r in hot) == 1
+
+
+def test_filter_answers_for_earlier_records_of_any_batch():
+    """Sequential brute force: every repeat is seen, in one batch or over batches, and a bucket's filter is kept and loaded."""
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 400, 3000) * 7_919_000_001
+    bucket = np.sort(rng.integers(0, 3, 3000)).astype(np.int32)
+
+    def batch(lo, hi, filters=None):
+        n = hi - lo
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[lo:hi]), pa.array(np.full(n, membership.ASK, np.int32)), pa.array(h[lo:hi]), pa.array(rng.integers(1 << 40, 1 << 60, n)), pa.array([str(i) for i in range(lo, hi)]),
+             pa.array(["k"] * n), pa.nulls(n, pa.binary())], names=["bucket", "kind", "h", "absent", "record", "key", "filter"])
+
+    out = pa.Table.from_batches(membership.walk([batch(i, i + 250) for i in range(0, 3000, 250)], 2000, 0.001, True)).to_pylist()
+    got, known = {int(r["record"]): r["maybe"] for r in out if r["record"]}, set()
+    wrong = 0
+    for i in range(3000):
+        seen = (bucket[i], h[i]) in known
+        known.add((bucket[i], h[i]))
+        assert got[i] or not seen
+        wrong += got[i] and not seen
+    assert wrong <= 5 and sorted(r["bucket"] for r in out if r["filter"]) == [0, 1, 2]
+
+
+def test_stored_filters_stand_for_earlier_keys(spark):
+    pages, raw, p, f = urls(spark)
+    entries = membership.frontier_entries(f).where("key is not null").withColumnRenamed("entry_id", "record")
+    half = entries.where("o2 < 1000"), entries.where("o2 >= 1000")
+    size = dict(buckets=4, keys=2000)
+    known = p.select(F.col("url").alias("key"))
+    first = membership.ask(known, half[0], keep=True, **size).persist()
+    later = membership.ask(known.limit(0), half[1], filters=first, **size)
+    want = set(pages) | {r.key for r in half[0].collect()}
+    rows = later.collect()
+    assert first.where("filter is not null").count() == 4 and len(rows) == half[1].count()
+    assert all(r.maybe for r in rows if r.key in want)
+    with pytest.raises(ValueError):
+        membership.ask(known, half[1], filters=first)
 
 
 def test_membership_empty(spark):
     _, _, p, f = urls(spark)
-    assert membership.judge(p, f.limit(0))[2].count() == 0
-    assert membership.judge(p.limit(0), f)[3].count() == 0
+    assert membership.judge(p, f.limit(0))[0].count() == 0
+    answers, told = membership.judge(p.limit(0), f)
+    assert told.where("known").count() == 0 and membership.verified(answers, told).where("seen").count() > 0
 
 
 def test_scores(spark):
