@@ -23,6 +23,7 @@ from corvane.session import spread
 from corvane.sources.tables import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SLICE_BYTES = 4_000_000  # of text that is encoded at once
 # Fixed value: how this vocabulary cuts a text before merging.
 PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same for ASCII, written out so that the faster standard engine can be used.
@@ -156,9 +157,12 @@ def encoder(path: str) -> BytePairs:
 def encode_batches(batches, path: str, key: str, text: str):
     own = encoder(path)
     for batch in batches:
-        flat, offsets = own.encode(batch.column(text).to_pylist())
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(key), lists], names=[key, "ids"])
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.column(text).nbytes))
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            flat, offsets = own.encode(part.column(text).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(key), lists], names=[key, "ids"])
 
 
 def encode_texts(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
