@@ -42,19 +42,18 @@ def nfkc_lower_strip(text: pd.Series) -> pd.Series:
 def fold_term(df: DataFrame, column: str) -> DataFrame:
     """Replaces a term by NFKC, lower case, trimmed. Rows with a null term are dropped.
 
-    ASCII terms are folded inside the JVM; only the others go through Python.
+    One pass: ASCII terms are folded inside the JVM, and reach Python as nulls.
     """
-    plain, others = F.col(column).rlike(ASCII), [c for c in df.columns if c != column]
-    ascii_part = df.where(plain).select(F.lower(F.regexp_replace(column, r"^\s+|\s+$", "")).alias(column), *others)
-    other_part = df.where(~plain).select(nfkc_lower_strip(F.col(column)).alias(column), *others)
-    return ascii_part.unionByName(other_part)
+    plain = F.col(column).rlike(ASCII)
+    folded = F.when(plain, F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))).otherwise(nfkc_lower_strip(F.when(~plain, F.col(column))))
+    return df.where(F.col(column).isNotNull()).withColumn(column, folded)
 
 
 def folded_text(df: DataFrame, column: str, out: str = "_folded") -> DataFrame:
-    """Adds NFKC and lower case of a text; null counts as empty. ASCII rows don't pass through Python."""
-    plain = F.coalesce(F.col(column), F.lit("")).rlike(ASCII)
-    ascii_part = df.where(plain).withColumn(out, F.lower(F.coalesce(F.col(column), F.lit(""))))
-    return ascii_part.unionByName(df.where(~plain).withColumn(out, F.lower(nfkc(F.col(column)))))
+    """Adds NFKC and lower case of a text; null counts as empty. One pass, in which ASCII texts reach Python as nulls."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    plain = text.rlike(ASCII)
+    return df.withColumn(out, F.lower(F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))))
 
 
 def stem(word: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators.skew import SALTS, heavy_keys, salted_join
+from corvane.operators.skew import heavy_keys, salted_join
 from corvane.session import settle
 
 IN_GRAPH = ("crawled", "not_modified")
@@ -32,41 +32,58 @@ def graph_nodes(pages: DataFrame) -> DataFrame:
 
 
 def graph_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src, dst) of links whose ends are both nodes; parallel ones and loops stay."""
+    """(src, dst) of links whose ends are both nodes; parallel ones and loops stay. Heavy ends are salted."""
     edges = links.where(F.col("dst_page_id").isNotNull()).select(F.col("src_page_id").alias("src"), F.col("dst_page_id").alias("dst"))
-    ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    for end in ("src", "dst"):
+        heavy = heavy_keys(edges.groupBy(end).agg(F.count("*").alias("n")), end, "n")
+        edges = salted_join(edges, nodes.select(F.col("id").alias(end)).distinct(), end, heavy)
+    return edges.select("src", "dst")
+
+
+def rank_round(light: DataFrame, heavy: DataFrame | None, ranks: DataFrame, n: int, damping: float) -> DataFrame:
+    """(id, ends, rank) after one round. Edges and ranks lie partitioned alike; only sums by target are shuffled."""
+    offered = ranks.where(~F.col("ends")).select(F.col("id").alias("src"), "rank")
+    given = light.join(offered.hint("shuffle_hash"), "src").select("dst", (F.col("rank") * F.col("share")).alias("give"))
+    if heavy is not None:
+        few = offered.join(F.broadcast(heavy.select("src").distinct()), "src", "left_semi")  # a hundred rows at most
+        given = given.unionByName(heavy.join(F.broadcast(few), "src").select("dst", (F.col("rank") * F.col("share")).alias("give")))
+    lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    got = given.groupBy(F.col("dst").alias("id")).agg(F.sum("give").alias("got"))
+    step = ranks.select("id", "ends").join(got.hint("shuffle_hash"), "id", "left").crossJoin(F.broadcast(lost))
+    value = (1 - damping) / n + damping * F.col("lost") / n + damping * F.coalesce("got", F.lit(0.0))
+    return step.select("id", "ends", value.alias("rank"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """(id, rank) after a fixed number of rounds, summing up to 1; nodes without outlinks give to all alike.
 
-    Edges carry their share 1/outdegree and are written once, as are the ranks of each round, which the next one reads
-    three times: lineage stays short and a lost executor costs little. Edges lie partitioned by source, heavy sources
-    salted, so that a round moves ranks and sums, one row per page, but no edges; sums by target are combined before
-    their shuffle. An empty graph gives no rows.
+    Edges carry their share 1/outdegree and are written once, partitioned by source as the ranks are by id, so that a
+    round joins the two where they lie. Sources that hold a hundredth of all edges, a hundred at most, have theirs
+    spread by target and get their ranks broadcast. What is shuffled in a round are the sums by target, combined before.
+    Ranks are written after each round: lineage stays short and a lost executor costs little. An empty graph gives no
+    rows.
     """
+    nodes = settle(nodes.select("id"))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    heavy = settle(heavy_keys(degree, "src", "deg").withColumn("_heavy", F.lit(True)))
-    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("times"))
-    salt = F.when(F.col("_heavy"), F.pmod(F.hash("dst"), F.lit(SALTS))).otherwise(0).cast("int")
-    shares = salted_join(pairs, degree, "src", heavy).join(F.broadcast(heavy), "src", "left")
-    shares = shares.select("src", salt.alias("_salt"), "dst", (F.col("times") / F.col("deg")).alias("share"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = settle(shares.repartition(parts, "src", "_salt"))
-    copies = F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
-    dangling = nodes.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("ends"))
-    ranks = settle(dangling.select("id", "ends", F.lit(1.0 / n).alias("rank")).repartition(parts, "id"))
-    base = (1 - damping) / n
+    pairs = settle(edges.groupBy("src", "dst").agg(F.count("*").alias("times")))
+    degree = settle(pairs.groupBy("src").agg(F.sum("times").alias("deg")).repartition(parts, "src"), keep_partitioning=True)
+    many = settle(heavy_keys(degree, "src", "deg"))
+    mark = F.broadcast(many.withColumn("_heavy", F.lit(True)))
+    marked = pairs.join(mark, "src", "left")
+    share = (F.col("times") / F.col("deg")).alias("share")
+    rest = marked.where(F.col("_heavy").isNull()).select("src", "dst", "times").repartition(parts, "src")
+    light = settle(rest.join(degree.hint("shuffle_hash"), "src").select("src", "dst", share), keep_partitioning=True)
+    heavy = None
+    if many.count():
+        few = degree.join(F.broadcast(many), "src", "left_semi")
+        heavy = settle(marked.where("_heavy").select("src", "dst", "times").join(F.broadcast(few), "src").select("src", "dst", share).repartition(parts, "dst"))
+    ends = nodes.repartition(parts, "id").join(degree.withColumnRenamed("src", "id").hint("shuffle_hash"), "id", "left").select("id", F.col("deg").isNull().alias("ends"))
+    ranks = settle(ends.withColumn("rank", F.lit(1.0 / n)), keep_partitioning=True)
     for _ in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        offered = ranks.where(~F.col("ends")).withColumnRenamed("id", "src").join(F.broadcast(heavy), "src", "left").select("src", "rank", copies)
-        given = shares.join(offered, ["src", "_salt"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        step = ranks.select("id", "ends").join(given.withColumnRenamed("dst", "id"), "id", "left").crossJoin(F.broadcast(lost))
-        ranks = settle(step.select("id", "ends", (base + damping * F.col("lost") / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        ranks = settle(rank_round(light, heavy, ranks, n, damping), keep_partitioning=True)
     return ranks.select("id", "rank")
 
 
@@ -79,13 +96,15 @@ def write_ranks(pages: DataFrame, ranks: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, edges: DataFrame, max_depth: int, allowed: Column | None = None) -> DataFrame:
     """(id, depth): nodes within max_depth steps of the seeds with their least depth; `allowed` filters edges.
 
-    One join per level; the seen set leaves the frontier by an anti-join. Levels are written, not recomputed.
+    One join per level, edges of heavy sources salted; the seen set leaves the frontier by an anti-join. Levels are
+    written, not recomputed.
     """
-    steps = edges.where(allowed) if allowed is not None else edges
+    steps = settle((edges.where(allowed) if allowed is not None else edges).select("src", "dst"))
+    heavy = settle(heavy_keys(steps.groupBy("src").agg(F.count("*").alias("n")), "src", "n"))
     seen = settle(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     levels = [seen]
     for depth in range(1, max_depth + 1):
-        reached = levels[-1].join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        reached = salted_join(steps, levels[-1].select(F.col("id").alias("src")), "src", heavy).select(F.col("dst").alias("id")).distinct()
         known = reduce(DataFrame.unionByName, levels)
         levels.append(settle(reached.join(known.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))))
     return reduce(DataFrame.unionByName, levels)

@@ -70,9 +70,9 @@ def reindex(postings: DataFrame, terms: DataFrame, fresh: DataFrame, changed: Da
     """(postings, terms) after the pages in `changed` (page_id) got the postings `fresh`, those of other pages kept.
 
     A page's old terms that it has no more lower doc_freq (never below 0), new ones raise it; terms it keeps don't
-    touch it. Terms whose doc_freq falls to 0 stay, as unused. Changed pages without fresh postings lose theirs.
+    touch it. `postings` is read twice and should be a stored table. Terms whose doc_freq falls to 0 stay, as unused. Changed pages without fresh postings lose theirs.
     """
-    postings, fresh = settle(postings), settle(fresh)
+    fresh = settle(fresh)
     once = changed.select("page_id").distinct()
     old = postings.join(once, "page_id", "left_semi")
     pairs = ["term", "page_id"]

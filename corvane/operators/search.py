@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.config import SearchOptions
 from corvane.functions.html import extract_pages
-from corvane.functions.text import idf, snippet, tf_weight, tokenize
+from corvane.functions.text import ASCII, idf, snippet, tf_weight, tokenize
+from corvane.sources.tables import clean_postings, current_pages, latest
 
 
 def check_request(q: str, limit: int | None, options: SearchOptions = SearchOptions()) -> int:
@@ -29,6 +30,13 @@ def query_terms(spark: SparkSession, q: str) -> DataFrame:
     return spark.createDataFrame(sorted(Counter(tokenize(q)).items()), "term string, q_count int")
 
 
+def postings_of_terms(postings: DataFrame, words: list[str]) -> DataFrame:
+    """Valid postings of some words in clean form, from a table of raw ones: only what can be one of them is folded."""
+    plain = F.col("term").rlike(ASCII)
+    near = postings.where(F.when(plain, F.lower(F.regexp_replace("term", r"^\s+|\s+$", "")).isin(words)).otherwise(True))
+    return clean_postings(near).where(F.col("term").isin(words))
+
+
 def candidates(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings of any query term. The query's terms, at most some hundred rows by its length limit, are broadcast."""
     return postings.join(F.broadcast(terms), "term")
@@ -56,23 +64,26 @@ def rank(terms: DataFrame, postings: DataFrame, freq: DataFrame, pages: DataFram
 
 
 def search(
-    spark: SparkSession, q: str, postings: DataFrame, freq: DataFrame, pages: DataFrame, bodies: DataFrame, total_docs: DataFrame,
-    limit: int | None = None, options: SearchOptions = SearchOptions(),
+    spark: SparkSession, q: str, postings: DataFrame, freq: DataFrame, scored: DataFrame, pages: DataFrame, bodies: DataFrame,
+    total_docs: DataFrame, limit: int | None = None, options: SearchOptions = SearchOptions(),
 ) -> DataFrame:
     """(page_id, url, title, domain, score, pagerank, snippet) of the best pages, scores rounded to four places.
 
-    A query of stop words alone gives no rows. Results without a page row are dropped, those without a body have an
-    empty snippet. Only the results' bodies are parsed: the limit comes before the joins.
+    `scored` has (id, tfidf_norm, pagerank) of the current pages; `pages` and `bodies` are the stored tables, of which
+    only the rows of the results are read: their ids and keys, as many as the limit, are filters of the scans. A query
+    of stop words alone gives no rows. Results without a page row are dropped, those without a body have an empty snippet.
     """
     limit = check_request(q, limit, options)
     terms = query_terms(spark, q)
-    top = rank(terms, postings, freq, pages, total_docs, limit, options.alpha)
-    meta = pages.select(F.col("id").alias("page_id"), "url", "title", "domain", "minio_key")
-    hits = F.broadcast(top).join(meta, "page_id")
-    wanted = F.broadcast(hits).join(bodies, "minio_key", "left")
-    texts = extract_pages(wanted.select(F.col("page_id").alias("id"), "html", "url")).select(F.col("id").alias("page_id"), "text")
-    found = hits.join(texts, "page_id", "left")
-    return found.select(
+    top = rank(terms, postings, freq, scored, total_docs, limit, options.alpha).collect()  # at most `limit` rows
+    first = spark.createDataFrame(top, "page_id long, score double, pagerank double")
+    meta = current_pages(pages.where(F.col("id").isin([r.page_id for r in top])), "url", "title", "domain", "minio_key")
+    hits = meta.withColumnRenamed("id", "page_id").collect()
+    known = spark.createDataFrame(hits, "page_id long, url string, title string, domain string, minio_key string").join(F.broadcast(first), "page_id")
+    stored_as = sorted({r.minio_key for r in hits if r.minio_key is not None})
+    body = latest(bodies.where(F.col("minio_key").isin(stored_as)), "minio_key", "stored_at", "html")
+    texts = extract_pages(F.broadcast(known).join(body, "minio_key").select(F.col("page_id").alias("id"), "html", "url")).select(F.col("id").alias("page_id"), "text")
+    return known.join(F.broadcast(texts), "page_id", "left").select(
         "page_id", "url", "title", "domain", F.round("score", 4).alias("score"), F.round("pagerank", 4).alias("pagerank"),
         F.coalesce(snippet(F.col("text"), sorted({*tokenize(q)}), options.snippet_window), F.lit("")).alias("snippet"),
     )

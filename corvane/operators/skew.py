@@ -25,12 +25,13 @@ def heavy_keys(counts: DataFrame, key: str, rows: str, share: float = HEAVY_SHAR
     return known.crossJoin(F.broadcast(total)).where(F.col(rows) >= share * F.col("_total")).select(key)
 
 
-def salted_join(facts: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(facts: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame, how: str = "inner", salts: int = SALTS, narrow_facts: bool = False) -> DataFrame:
     """Joins facts with a lookup that has one row per key, heavy keys spread over `salts` tasks.
 
     Rows of heavy keys get a salt, and the lookup's rows of these keys one copy per salt: at most salts/share copies.
     All other rows have salt 0. Columns other than the key mustn't clash. Facts with a null key match nothing
-    (inner: dropped, left: kept with nulls). Equal rows of facts stay as many as they were.
+    (inner: dropped, left: kept with nulls). Equal rows of facts stay as many as they were. With narrow_facts the facts
+    are hashed, so that a lookup with wide rows isn't sorted.
     """
     mark = F.broadcast(heavy.select(key).withColumn("_heavy", F.lit(True)))
     salted = facts.join(mark, key, "left").withColumn(
@@ -38,7 +39,8 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame,
     )
     copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = lookup.join(mark, key, "left").withColumn("_salt", F.explode(copies))
-    return salted.drop("_heavy").join(spread.drop("_heavy"), [key, "_salt"], how).drop("_salt")
+    left = salted.drop("_heavy")
+    return (left.hint("shuffle_hash") if narrow_facts else left).join(spread.drop("_heavy"), [key, "_salt"], how).drop("_salt")
 
 
 def compress(df: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from corvane.functions.html import extract_pages
 from corvane.functions.text import tokenize
 from corvane.operators import search
 from corvane.plans.registry import BODIES, NUM_PAGES, POSTS, query
-from corvane.sources.tables import bodies_of_pages, clean_postings, current_bodies, current_pages, table
+from corvane.session import settle
+from corvane.sources.tables import bodies_of_pages, current_pages, table
 
 ONE, MANY = "guide archive", "How do the index pages guide the notes and notes?"
 PR = "CASE WHEN isnan(pagerank) THEN 0 ELSE coalesce(pagerank, 0) END"
@@ -54,16 +55,17 @@ TITLE = collapse_sql(entities_sql("regexp_extract(html, '(?s)<title>(.*?)</title
 H1 = collapse_sql(entities_sql("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))
 
 
-def _inputs(spark, where):
-    pages = current_pages(table(spark, where, "pages"), "url", "title", "domain", "minio_key", "tfidf_norm", "pagerank", "last_indexed_hash")
-    n = pages.agg(F.count("last_indexed_hash").alias("n"))
-    return clean_postings(table(spark, where, "postings")), table(spark, where, "terms"), pages, n
+def _inputs(spark, where, q):
+    """The query's postings and statistics, the pages' scores, and the number of pages ever indexed."""
+    words = sorted(set(tokenize(q)))
+    scored = settle(current_pages(table(spark, where, "pages"), "tfidf_norm", "pagerank", "last_indexed_hash"))
+    n = scored.agg(F.count("last_indexed_hash").alias("n"))
+    return search.postings_of_terms(table(spark, where, "postings"), words), table(spark, where, "terms").where(F.col("term").isin(words)), scored, n
 
 
 def _hits(spark, where, q):
-    postings, terms, pages, n = _inputs(spark, where)
-    bodies = table(spark, where, "html_objects")
-    return search.search(spark, q, postings, terms, pages, current_bodies(bodies), n)
+    postings, terms, scored, n = _inputs(spark, where, q)
+    return search.search(spark, q, postings, terms, scored, table(spark, where, "pages"), table(spark, where, "html_objects"), n)
 
 
 @query(
@@ -82,7 +84,7 @@ def search_topk(spark, where):
 
 @query("search_single_term", f"WITH {_ranked_sql(ONE, 50)} SELECT page_id, round(score, 6) AS score FROM top")
 def search_single_term(spark, where):
-    postings, terms, pages, n = _inputs(spark, where)
+    postings, terms, pages, n = _inputs(spark, where, ONE)
     top = search.rank(search.query_terms(spark, ONE), postings, terms, pages, n, 50, 2.0)
     return top.select("page_id", F.round("score", 6).alias("score"))
 
@@ -92,14 +94,17 @@ def search_single_term(spark, where):
     f"WITH {POSTS}, {_terms_sql(MANY)} SELECT count(DISTINCT page_id) AS total_matches FROM posts JOIN q USING (term)",
 )
 def search_total_matches(spark, where):
-    return search.total_matches(search.query_terms(spark, MANY), clean_postings(table(spark, where, "postings")))
+    return _matches(spark, where, MANY)
+
+
+def _matches(spark, where, q):
+    return search.total_matches(search.query_terms(spark, q), search.postings_of_terms(table(spark, where, "postings"), sorted(set(tokenize(q)))))
 
 
 @query("search_response")
 def search_response(spark, where):
     """The JSON body of the response."""
-    matches = search.total_matches(search.query_terms(spark, MANY), clean_postings(table(spark, where, "postings")))
-    return search.as_response(MANY, _hits(spark, where, MANY), matches)
+    return search.as_response(MANY, _hits(spark, where, MANY), _matches(spark, where, MANY))
 
 
 @query(

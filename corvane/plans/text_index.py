@@ -125,7 +125,7 @@ _SECOND_SQL = "(SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) || chr(10) ||
 
 
 def _reindexed(spark, where):
-    old = settle(postings_of(spark, where))
+    old = settle(postings_of(spark, where))  # read by reindex and counted here
     changed = docs(spark, where).withColumn("text", _second())
     fresh = index.build_postings(changed, "doc_id", "text")
     return index.reindex(old, index.document_frequencies(old), fresh, changed.select(F.col("doc_id").alias("page_id")))

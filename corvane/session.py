@@ -45,13 +45,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame, eager: bool = True) -> DataFrame:
+def settle(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Writes df to the shared folder and returns it without its lineage, as rows in Spark's own form.
 
+    With keep_partitioning later joins and aggregates know how its rows lie and don't shuffle them again; an adaptive
+    plan tells nothing of that, so that this one plan is made without adaption.
+
     The files survive the loss of an executor, which a local checkpoint doesn't. For narrow rows that are used soon.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not keep_partitioning:
+        return df.checkpoint()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # a new plan is made under the setting
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def stored(df: DataFrame) -> DataFrame:

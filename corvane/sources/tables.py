@@ -5,14 +5,15 @@ All views read only the columns they are asked for, so that pruning reaches the
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import fold_term
 from corvane.functions.urls import host_of
+from corvane.operators.skew import heavy_keys, salted_join
 from corvane.schemas import TABLES, table_schema
+from corvane.session import settle
 
 
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
@@ -24,8 +25,8 @@ def table(spark: SparkSession, where: str, name: str) -> DataFrame:
 def latest(df: DataFrame, key: str, by: str, *columns: str) -> DataFrame:
     """One row per key: the one with the greatest `by` (null is least); equal ones are decided by the other columns.
 
-    A hash aggregate with partial aggregation before the shuffle, so that a key's copies never meet unreduced.
-    Rows whose key is null are dropped. An empty input gives no rows.
+    Reduced in each task before the shuffle, so that a key's copies never meet unreduced. For narrow columns: rows with
+    strings are sorted for it. Rows whose key is null are dropped. An empty input gives no rows.
     """
     rest = [c for c in dict.fromkeys(columns) if c not in (key, by)]
     order = F.struct(F.col(by).isNotNull().alias("_has"), F.col(by).alias(by), *[F.col(c) for c in rest])
@@ -39,18 +40,44 @@ def current_pages(pages: DataFrame, *columns: str) -> DataFrame:
     return latest(pages, "id", "last_crawled_at", *columns)
 
 
-def current_bodies(html_objects: DataFrame) -> DataFrame:
-    """(minio_key, html): the body stored last under each key; copies count once.
+def located(df: DataFrame) -> DataFrame:
+    """df with _at, which tells its rows apart: file and row number of a scan; other inputs are written and numbered."""
+    try:
+        return df.withColumn("_at", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return settle(df.withColumn("_at", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))))
+
+
+def last_stored(places: DataFrame) -> DataFrame:
+    """(minio_key, _at): the place of the body stored last under each key, of equal times that with the greatest hash."""
+    order = F.struct(F.col("stored_at").isNotNull().alias("has"), "stored_at", F.xxhash64("html").alias("hash"), "_at")
+    best = places.where(F.col("minio_key").isNotNull()).groupBy("minio_key").agg(F.max(order).alias("_best"))
+    return best.select("minio_key", F.col("_best._at").alias("_at"))
+
 
-    Superseded bodies of a key that share a task are dropped before the shuffle.
+def bodies_at(wanted: DataFrame, places: DataFrame) -> DataFrame:
+    """wanted (with _at) joined with the body at each place.
+
+    What is wanted is found on narrow rows; bodies are shuffled once, by place, so that no key's copies meet, and
+    neither sorted nor aggregated. A body that many pages share is copied for them, salted.
     """
-    return latest(html_objects, "minio_key", "stored_at", "html")
+    wanted = settle(wanted)
+    heavy = heavy_keys(wanted.groupBy("_at").agg(F.count("*").alias("_n")), "_at", "_n")
+    return salted_join(wanted, places.select("_at", "html"), "_at", heavy, narrow_facts=True).drop("_at")
+
+
+def current_bodies(html_objects: DataFrame) -> DataFrame:
+    """(minio_key, html): the body stored last under each key; copies count once."""
+    places = located(html_objects)
+    return bodies_at(last_stored(places), places).select("minio_key", "html")
 
 
 def bodies_of_pages(pages: DataFrame, html_objects: DataFrame, *columns: str) -> DataFrame:
     """(id, html, columns...) for each page whose minio_key has a stored body."""
+    places = located(html_objects)
     held = current_pages(pages, "minio_key", *columns).where(F.col("minio_key").isNotNull())
-    return held.join(current_bodies(html_objects), "minio_key").select("id", "html", *[c for c in columns if c != "minio_key"])
+    wanted = held.join(last_stored(places), "minio_key")
+    return bodies_at(wanted, places).select("id", "html", *[c for c in columns if c != "minio_key"])
 
 
 def clean_postings(postings: DataFrame) -> DataFrame:
@@ -68,6 +95,3 @@ def page_hosts(pages: DataFrame) -> DataFrame:
     score = F.when(F.isnan("pagerank") | F.col("pagerank").isNull(), F.lit(0.0)).otherwise(F.col("pagerank"))
     return current_pages(pages, "url", "pagerank").select("id", host_of("url").alias("host"), score.alias("pagerank"))
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
