@@ -3,8 +3,12 @@
 The items form an inverted index whose terms are letter sequences of eight characters, taken from a form of the text
 in which spelling no longer counts (case, punctuation, spacing, word breaks, mark-up, entities, accents). Every
 passage of every document is a query: BM25 scores of all items above a threshold are retrieved with block-max upper
-bounds, so that only blocks of items that can reach the threshold are scored. Retrieved pairs are then aligned, and
-the item's words are counted.
+bounds, so that only blocks of items that can reach the threshold are scored. Nothing else decides what is retrieved.
+Retrieved pairs are then verified: the common sequences must keep their distance, they are aligned, the item's words
+are counted, and the passage must hold wording that no other item has.
+
+In scripts without spaces two characters count as a word, and a character stands for three letters, so that sequences,
+words and passages carry about as much as in other scripts.
 """
 
 from __future__ import annotations
@@ -15,32 +19,34 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.llm.registry import query
-from corvane.session import spread
+from corvane.session import settle, spread, stored
 from corvane.sources.tables import table
 
 GRAM = 8
-PASSAGE = 256  # characters of a passage, which overlaps its neighbours by half
+PASSAGE = 384  # characters of a passage, which overlaps its neighbours by half
 BLOCK = 16  # items of a block
 K1, B = 1.2, 0.75
 SHARED_WORDS = 10  # a sequence of so many words that stands in several items is nobody's own
 MIN_WORDS, ONE_IN = 15, 8
-#: Least number of characters in exact sequences that a passage of 15 words with one in eight altered can have.
-THRESHOLD_GRAMS = 20
-#: Least number of sequences of an item in such a passage.
-LEAST_GRAMS = 30
-#: So many of its sequences must stand in no other item: phrases that several items use are nobody's own.
-OWN_GRAMS = 7
+#: A passage must hold so many runs of so many words that no other item has: phrases that several items use are nobody's own.
+OWN_RUN, OWN_RUNS = 4, 2
+#: A passage of fifteen words or more with c altered ones, at most one in eight, has c + 1 exact runs: the longest has at least five words.
+RUN_WORDS = 5
 REACH = 60  # characters between two links of a chain
 JOINED = 24  # letters of a document's word from which it may be several without spaces
 JOINED_WORD = 4  # letters of a word that ends a run inside such a word
-MAX_ITEMS = 200_000  # the index is a broadcast value; its size is checked against this
+PART_LETTERS = 500_000  # letters of the items in one index, which is broadcast: about 45 MB; more items are searched part by part
+DENSE_CELLS = 4_000_000  # scores of half passages and items that are kept in a plain table
+SLICE_LETTERS = 500_000  # letters of documents that are searched at once
 BUCKET_BITS = 22
 
 # Letters of other scripts that look like Latin ones.
@@ -53,6 +59,10 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 _GARBLED = re.compile("[Â-ô][\u0080-¿Œ-Ÿ–-™ƒˆ˜]+")
 _SIGNS = re.compile(r"[\W_]+")
+_DENSE = "぀-ヿ㐀-䶿一-鿿豈-﫿\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_CHARACTER = re.compile(f"([{_DENSE}])")
+_PIECES = re.compile(f"[{_DENSE}]{{1,2}}|[^{_DENSE}]+")
+_SINGLE = re.compile(f"[{_DENSE}]|[^{_DENSE}]+")
 _HYPHEN = re.compile(r"(?<=\w)[-\u00ad\u2010]\s*\n\s*(?=\w)")
 
 
@@ -82,11 +92,32 @@ def readable(text: str) -> str:
 
 
 def plain(text: str) -> str:
-    """Letters and digits alone, without case and accents."""
+    """Letters and digits alone, without case and accents. A character of a script without spaces stands three times."""
     if text.isascii():
         return text.encode().lower().translate(None, _DROP_ASCII).decode()
     text = unicodedata.normalize("NFKD", text).casefold()
-    return _SIGNS.sub("", text.translate(_OTHERS) if _ALIKE.search(text) else text)
+    text = _SIGNS.sub("", text.translate(_OTHERS) if _ALIKE.search(text) else text)
+    return _CHARACTER.sub(r"\1\1\1", text) if _CHARACTER.search(text) else text
+
+
+def item_words(text: str) -> list[str]:
+    """The words of a readable text in plain form; runs of a script without spaces are cut into pairs of characters."""
+    if _CHARACTER.search(text):
+        return [w for t in text.split() for piece in _PIECES.findall(t) if (w := plain(piece))]
+    return [w for w in map(plain, text.split()) if w]
+
+
+def run_hashes(words: list[str], size: int) -> np.ndarray:
+    """Hashes of all runs of so many words, the same in every process."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    if len(h) < size:
+        return h[:0]
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return out
 
 
 class Breaks:
@@ -96,9 +127,10 @@ class Breaks:
         at, self.signs, self.spaces = 0, [0], [0]
         for token in _HYPHEN.sub("", readable(text or "")).split():
             for piece in _SIGNS.split(token):
-                if n := len(plain(piece)):
-                    at += n
-                    self.signs.append(at)
+                for part in _SINGLE.findall(piece) if _CHARACTER.search(piece) else (piece,):
+                    if n := len(plain(part)):
+                        at += n
+                        self.signs.append(at)
             if at > self.spaces[-1]:
                 self.spaces.append(at)
         self.every = frozenset(self.signs)
@@ -137,24 +169,24 @@ def grams(z: str) -> np.ndarray:
 class ItemIndex:
     """Inverted index of the items with per-block bounds. Size grows with the items, never with the documents."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], shared: np.ndarray | None = None):
+        """shared: hashes of the runs that stand in several items; without it they are taken from these items alone."""
         items = sorted((i, readable(t)) for i, t in items if t)
-        self.ids, self.words, self.streams, self.own = [i for i, _ in items], [], [], []
-        by_run: dict[tuple, set] = defaultdict(set)
-        pieces = []
-        for k, (_, t) in enumerate(items):
-            words = [w for w in map(plain, t.split()) if w]
-            pieces.append(words)
-            for j in range(len(words) - SHARED_WORDS + 1):
-                by_run[tuple(words[j : j + SHARED_WORDS])].add(k)
+        self.ids, self.words, self.streams, self.own, self.alone, self.starts, self.ends = [i for i, _ in items], [], [], [], [], [], []
+        pieces = [item_words(t) for _, t in items]
+        if shared is None:
+            shared = several(pieces)
         postings = []
         for k, words in enumerate(pieces):
             own = np.ones(len(words), bool)
-            for j in range(len(words) - SHARED_WORDS + 1):
-                if len(by_run[tuple(words[j : j + SHARED_WORDS])]) > 1:
-                    own[j : j + SHARED_WORDS] = False
-            ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, int)
-            self.words.append(list(zip((ends - [len(w) for w in words]).tolist() if words else [], ends.tolist())))
+            for j in np.flatnonzero(np.isin(run_hashes(words, SHARED_WORDS), shared)).tolist():
+                own[j : j + SHARED_WORDS] = False
+            alone = ~np.isin(run_hashes(words, OWN_RUN), shared)
+            self.alone.append(np.concatenate([[0], np.cumsum(alone)]))  # runs of its own before each word
+            ends = np.cumsum([len(w) for w in words]).tolist() if words else []
+            self.words.append([(b - len(w), b) for b, w in zip(ends, words)])
+            self.starts.append([a for a, _ in self.words[-1]])
+            self.ends.append([b for _, b in self.words[-1]])
             self.own.append(own)
             self.streams.append("".join(words))
             g = grams(self.streams[-1])
@@ -167,6 +199,16 @@ class ItemIndex:
         self.first = np.append(first, len(g))
         self.filter = np.zeros(1 << BUCKET_BITS, bool)
         self.filter[(self.terms >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] = True
+        sizes = np.array([len(x) for x in self.streams] or [0])
+        self.offset = np.cumsum(sizes) - sizes  # of each item's letters and words, laid end to end
+        words = np.array([len(x) for x in self.words] or [0])
+        self.first_word = np.cumsum(words) - words
+        self.all_starts = np.concatenate([o + np.asarray(x, int) for o, x in zip(self.offset, self.starts)] or [np.zeros(0, int)])
+        self.all_ends = np.concatenate([o + np.asarray(x, int) for o, x in zip(self.offset, self.ends)] or [np.zeros(0, int)])
+        letters = int(sizes.sum())
+        self.letter_item = np.repeat(np.arange(len(sizes)), sizes).astype(np.int32)
+        self.word_from = np.searchsorted(self.all_starts, np.arange(letters)).astype(np.int32)  # the first word that begins at a letter or behind it
+        self.letter = self.offset[self.item] + self.place if len(self.item) else np.zeros(0, np.int64)
         n, length = max(1, len(items)), np.array([len(s) for s in self.streams] or [1], float)
         term = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
         pair, tf = np.unique(term * n + self.item, return_counts=True)  # one posting per (term, item)
@@ -184,8 +226,47 @@ class ItemIndex:
         self.b_first = np.searchsorted(self.b_key // self.blocks, np.arange(len(self.terms) + 1))
         self.t_bound = np.zeros(len(self.terms))
         np.maximum.at(self.t_bound, self.p_term, self.p_score)
-        least = np.percentile(weight, 5) if len(weight) else 1.0
-        self.threshold = THRESHOLD_GRAMS * least * float(np.log(1 + (n - 1.5) / 2.5) if n > 1 else np.log(4 / 3))
+        self.least = self._least_scores()
+        self.threshold = float(self.least[0].min(initial=np.inf)) if len(weight) else np.inf
+        self.block_threshold = np.minimum.reduceat(self.least[0], np.arange(0, n, BLOCK)) if items else np.zeros(1)
+        self.fewest = int(self.least[1].min(initial=1 << 30))
+
+    def _least_scores(self) -> np.ndarray:
+        """For each item the least score, and the least number of sequences, that a passage of it can have in a document.
+
+        A passage of 15 words has one altered; one of 16 and more holds 16 words with at most two. What an altered word
+        takes away are the sequences that touch it. Items without 15 words of their own have no passage.
+        """
+        out = np.full((2, max(1, len(self.ids))), np.inf)
+        key = self.p_term * max(1, len(self.ids)) + self.p_item
+        owner = np.repeat(np.arange(len(self.terms)), np.diff(self.first)) * max(1, len(self.ids)) + self.item
+        posting = np.searchsorted(key, owner)
+        each = self.p_score[posting] / np.bincount(posting, minlength=len(key))[posting] if len(key) else np.zeros(0)
+        by_item = np.argsort(self.item, kind="stable")
+        edge = np.searchsorted(self.item[by_item], np.arange(len(self.ids) + 1))
+        for k in range(len(self.ids)):
+            starts, ends, own = np.asarray(self.starts[k]), np.asarray(self.ends[k]), self.own[k]
+            mine = by_item[edge[k] : edge[k + 1]]
+            score = np.zeros((2, len(self.streams[k]) + 1))
+            score[0, self.place[mine] + 1], score[1, self.place[mine] + 1] = each[mine], 1
+            total = np.cumsum(score, axis=1)  # of the sequences that begin before each place
+            for size, altered in ((MIN_WORDS, MIN_WORDS // ONE_IN), (2 * ONE_IN, 2)):
+                i = np.arange(len(own) - size + 1) if len(own) >= size else np.zeros(0, int)
+                held = np.cumsum(np.concatenate([[0], own]))
+                i = i[held[i + size] - held[i] == size]
+                if not len(i):
+                    continue
+                a, b = starts[i], ends[i + size - 1]
+                last = np.maximum(b - GRAM + 1, a)
+                word = i[:, None] + np.arange(size)[None, :]
+                lo, hi = np.maximum(starts[word] - GRAM + 1, a[:, None]), np.minimum(ends[word], last[:, None])
+                hi = np.maximum(hi, lo)
+                for row in (0, 1):
+                    lost = np.sort(total[row][hi] - total[row][lo], axis=1)[:, -altered:].sum(1)
+                    rest = total[row][last] - total[row][a] - lost
+                    rest = rest * np.minimum(1.0, PASSAGE / 2 / (b - a + 2 * JOINED))  # what of it surely lies in one passage of a document
+                    out[row, k] = min(out[row, k], rest.min())
+        return np.where(np.isfinite(out), np.maximum(out - 1e-6, 0.5), np.inf)
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in h whose sequence is a term, and the terms."""
@@ -204,54 +285,135 @@ class ItemIndex:
         which = np.repeat(np.arange(len(terms)), n)
         return which, np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + first[terms][which]
 
-    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) of every item whose BM25 score for the passage reaches the threshold.
+    def retrieve(self, half: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(half passage, item) of every item whose BM25 score for the passage that begins there reaches the least that a passage of it can have.
 
-        First the greatest scores of a passage's terms are added up, then, for passages that can reach the threshold,
-        their bounds per block of items; only blocks that can reach it have their postings scored.
+        A passage is two halves in a row; a sequence counts as often as the passage has it. First the greatest scores
+        of a passage's terms are added up, then, for passages that can reach the least threshold, their bounds per block
+        of items; only blocks that can reach their threshold have their postings scored.
         """
-        most = self.t_bound[term]
-        keep = np.bincount(passage, most)[passage] >= self.threshold
-        passage, term = passage[keep], term[keep]
-        query_terms = np.unique(passage * (len(self.terms) + 1) + term)  # a term counts once per passage
-        passage, term = query_terms // (len(self.terms) + 1), query_terms % (len(self.terms) + 1)
+        halves = int(half.max()) + 2
+        most = np.bincount(half, self.t_bound[term], minlength=halves)
+        good = np.flatnonzero(most[:-1] + most[1:] >= self.threshold)
+        live = np.zeros(halves, bool)
+        live[good] = live[good + 1] = True
+        keep = live[half]
+        half, term = half[keep], term[keep]
+        if not len(half):
+            return half, half
+        dense = np.cumsum(live) - 1 + np.cumsum(np.diff(live.astype(np.int8), prepend=0) == 1)  # halves in use, a gap between stretches
+        back = np.zeros(int(dense[-1]) + 2, np.int64)
+        back[dense[live]] = np.flatnonzero(live)
+        half, rows = dense[half], len(back)
         which, entry = self._spread(self.b_first, term)
-        key = passage[which] * self.blocks + self.b_key[entry] % self.blocks
-        cells, inverse = np.unique(key, return_inverse=True)
-        live = cells[np.bincount(inverse, self.b_bound[entry]) >= self.threshold] if len(cells) else cells
-        if not len(live):
-            return live, live
+        bound = np.bincount(half[which] * self.blocks + self.b_key[entry] % self.blocks, self.b_bound[entry], minlength=rows * self.blocks).reshape(rows, self.blocks)
+        passes = bound[:-1] + bound[1:] >= self.block_threshold
+        open_ = np.zeros((rows, self.blocks), bool)
+        open_[:-1] |= passes
+        open_[1:] |= passes
+        keep = open_.any(1)[half]
+        half, term = half[keep], term[keep]
         which, entry = self._spread(self.p_first, term)
-        keep = np.isin(passage[which] * self.blocks + self.p_item[entry] // BLOCK, live)
+        keep = open_[half[which], self.p_item[entry] // BLOCK]
         n = len(self.ids)
-        cells, inverse = np.unique((passage[which] * n + self.p_item[entry])[keep], return_inverse=True)
+        key, weight = (half[which] * n + self.p_item[entry])[keep], self.p_score[entry][keep]
+        if rows * n <= DENSE_CELLS:
+            score = np.bincount(key, weight, minlength=rows * n).reshape(rows, n)
+            both = score[:-1] + score[1:]
+            at, item = np.nonzero((both >= self.least[0][:n]) & (score[:-1] > 0))
+            more, other = np.nonzero((both >= self.least[0][:n]) & (score[1:] > 0))
+            return np.concatenate([back[at], back[more + 1]]), np.concatenate([item, other])
+        cells, inverse = np.unique(key, return_inverse=True)
         if not len(cells):
             return cells, cells
-        good = cells[(np.bincount(inverse, self.p_score[entry][keep]) >= self.threshold) & (np.bincount(inverse) >= LEAST_GRAMS)]
-        return good // n, good % n
+        score = np.bincount(inverse, weight)
+        after = np.minimum(np.searchsorted(cells, cells + n), len(cells) - 1)
+        before = np.maximum(np.searchsorted(cells, cells - n), 0)
+        pair = score + np.where(cells[after] == cells + n, score[after], 0)
+        other = score + np.where((before < len(cells)) & (cells[np.minimum(before, len(cells) - 1)] == cells - n), score[np.minimum(before, len(cells) - 1)], 0)
+        good = cells[np.maximum(pair, other) >= self.least[0][cells % n]]
+        return back[good // n], good % n
+
+    def anchors(self, starts: np.ndarray, at: np.ndarray, term: np.ndarray, pairs: np.ndarray) -> dict[int, list[tuple]]:
+        """Exact common runs of the pairs (text * items + item, sorted) that can be a passage's longest: {pair: [(shift, first word, end)]}.
+
+        at are places in the texts laid end to end, starts where each begins. Common sequences are sorted by their
+        distance from item to text, so that those of one run lie in a row.
+        """
+        n = len(self.ids)
+        doc = np.searchsorted(starts, at, side="right") - 1
+        wanted = np.zeros(len(starts), bool)
+        wanted[pairs // n] = True
+        keep = wanted[doc]
+        which, entry = self._spread(self.first, term[keep])
+        d, letters = at[keep][which], len(self.letter_item)
+        key = np.sort(((d - self.letter[entry] + letters) << 32) | d)
+        if not len(key):
+            return {}
+        lo = np.flatnonzero(np.diff(key, prepend=key[0] - 2) != 1)
+        size = np.diff(np.append(lo, len(key))) + GRAM - 1
+        d, far = key[lo] & 0xFFFFFFFF, (key[lo] >> 32) - letters
+        place = d - far
+        item, text = self.letter_item[place], np.searchsorted(starts, d, side="right") - 1
+        a = self.word_from[place]
+        inner = np.searchsorted(self.all_ends, place + size, side="right") - a  # words wholly within
+        good = np.flatnonzero(inner >= RUN_WORDS)
+        good = good[np.isin(text[good] * n + item[good], pairs)]
+        out: dict[int, list[tuple]] = {}
+        first = a - self.first_word[item]
+        shift = d - starts[text] - (place - self.offset[item])
+        for x in good.tolist():
+            out.setdefault(int(text[x]) * n + int(item[x]), []).append((int(shift[x]), int(first[x]), int(first[x] + inner[x])))
+        return out
 
-    def holds(self, z: str, at: np.ndarray, term: np.ndarray, item: int, breaks: Callable[[], Breaks]) -> bool:
+    def holds(self, z: str, at: np.ndarray, term: np.ndarray, item: int, anchors: list[tuple], breaks: Callable[[], Breaks]) -> bool:
         """Whether the stream z holds 15 words in a row of the item, at most one in eight altered, missing or added.
 
         Exact common sequences are chained along the document; between two links the item's words are looked for in
-        the text between, beyond the ends of a chain word by word. Words of shared wording end a run.
+        the text between, beyond the ends of a chain word by word. Words of shared wording end a run. Chains without a
+        run that can be a passage's longest are left out.
         """
+        good = {(shift, a) for shift, a, b in anchors if self._plausible(z, shift, item, a, b)}
+        if not good:
+            return False
         which, entry = self._spread(self.first, term)
         mine = self.item[entry] == item
         d, s = at[which][mine], self.place[entry][mine]
-        shift, count = np.unique((d - s) >> 6, return_counts=True)  # a passage keeps its distance, give or take a few words
-        near = count.copy()
-        near[:-1] += np.where(np.diff(shift) == 1, count[1:], 0)
-        if near.max(initial=0) < LEAST_GRAMS:
-            return False
-        alone = np.sort(s[(self.first[term + 1] - self.first[term] == 1)[which][mine]])
         order = np.lexsort((d, d - s))
         d, s = d[order], s[order]
         cut = np.flatnonzero((np.diff(d - s) != 0) | (np.diff(d) != 1)) + 1
         lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(d)]])
         links = sorted(zip(d[lo].tolist(), s[lo].tolist(), (hi - lo + GRAM - 1).tolist()))
-        chains = self._chains(links)
-        return any(self._run(z, chain, item, alone, breaks) for chain in chains if self._can(chain, alone))
+        anchor = {link for link in links if (link[0] - link[1], bisect_left(self.starts[item], link[1])) in good}
+        return any(self._run(z, chain, item, breaks) for chain in self._chains(links) if not anchor.isdisjoint(chain))
+
+    def _reach(self, z: str, shift: int, item: int, k: int, step: int) -> tuple[int, int, int]:
+        """How many words from k on in the direction of step come before the first, second and third that isn't in z near its place."""
+        words, own, stream, out, near = self.words[item], self.own[item], self.streams[item], [], 3 * JOINED
+        n, last = 0, len(words)
+        while 0 <= k < last and own[k] and n < 2 * ONE_IN:
+            p, q = words[k]
+            if z.find(stream[p:q], max(0, p + shift - near), q + shift + near) < 0:
+                out.append(n)
+                if len(out) == 3:
+                    return tuple(out)
+            n, k = n + 1, k + step
+        return tuple(out + [n] * (3 - len(out)))
+
+    def _plausible(self, z: str, shift: int, item: int, a: int, b: int) -> bool:
+        """Whether the words a to b, which z holds in a row, and their surroundings in the item can be a passage.
+
+        A passage has 15 words with one altered or holds 16 in a row with two altered; more needn't be seen.
+        """
+        if not self.own[item][a:b].all():
+            return False
+        if b - a >= MIN_WORDS:
+            return True
+        right = self._reach(z, shift, item, b, 1)
+        if b - a + right[2] + 2 * ONE_IN < MIN_WORDS:
+            return False
+        left = self._reach(z, shift, item, a - 1, -1)
+        return any(b - a + left[c] + right[altered - c] >= (MIN_WORDS if altered < 2 else 2 * ONE_IN) for altered in range(3) for c in range(altered + 1))
 
     @staticmethod
     def _chains(links: list[tuple[int, int, int]]) -> list[list]:
@@ -277,11 +439,6 @@ class ItemIndex:
                 chains.append(chain[::-1])
         return chains
 
-    @staticmethod
-    def _can(chain: list, alone: np.ndarray) -> bool:
-        a, b = chain[0][1], chain[-1][1] + chain[-1][2]
-        return b - a >= 40 and int(np.searchsorted(alone, b) - np.searchsorted(alone, a)) >= OWN_GRAMS
-
     def _beyond(self, z: str, breaks: Breaks, item: int, k: int, p: int, step: int, most: int) -> dict[int, int]:
         """Words from k on, in the direction of step, that stand in z from p on: the least number of words altered, missing or added before each.
 
@@ -308,7 +465,7 @@ class ItemIndex:
                         level |= {(k + step, q), (k, q)}
         return found
 
-    def _run(self, z: str, chain: list, item: int, alone: np.ndarray, breaks: Callable[[], Breaks]) -> bool:
+    def _run(self, z: str, chain: list, item: int, breaks: Callable[[], Breaks]) -> bool:
         words, own, stream = self.words[item], self.own[item], self.streams[item]
         where = {}  # item word -> place in z of its start
         starts = [a for a, _ in words]
@@ -349,8 +506,7 @@ class ItemIndex:
         def whole(i: int, j: int, total: float) -> bool:
             if j - i + 1 < MIN_WORDS or total * ONE_IN > j - i + 1:
                 return False
-            a, b = np.searchsorted(alone, [words[i][0], words[j][1]])
-            return bool(b - a >= OWN_GRAMS)
+            return bool(self.alone[item][j - OWN_RUN + 2] - self.alone[item][i] >= OWN_RUNS)
 
         for i in (k for k in range(first, last + 1) if k in where):
             total = 0.0
@@ -374,11 +530,19 @@ class ItemIndex:
         return False
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """(place of the text, item id) of every leak among the texts."""
-        streams = [plain(readable(t)) if t else "" for t in texts]
+        """(place of the text, item id) of every leak among the texts, which are searched in slices of bounded length."""
+        out, held, size, began = [], [], 0, 0
+        for k, text in enumerate(texts):
+            held.append(plain(readable(text)) if text else "")
+            size += len(held[-1])
+            if size >= SLICE_LETTERS or k == len(texts) - 1:
+                out += [(began + j, i) for j, i in self._search(held, texts[began : k + 1])]
+                held, size, began = [], 0, k + 1
+        return out
+
+    def _search(self, streams: list[str], texts: list[str | None]) -> list[tuple[int, int]]:
         lengths = np.array([len(z) for z in streams])
-        whole = "".join(streams)
-        h = grams(whole)
+        h = grams("".join(streams))
         at, term = self.lookup(h)
         starts = np.cumsum(lengths) - lengths
         doc = np.searchsorted(starts, at, side="right") - 1
@@ -388,59 +552,74 @@ class ItemIndex:
             return []
         half = PASSAGE // 2
         local = at - starts[doc]
-        begin = np.cumsum(lengths // half + 2) - (lengths // half + 2)  # first passage of each text
-        # each character lies in two passages
-        passage = np.concatenate([begin[doc] + local // half + 1, begin[doc] + local // half])
-        one, term = term, np.concatenate([term, term])
-        full = np.bincount(passage)[passage] >= LEAST_GRAMS
-        passage, term = passage[full], term[full]
-        # Lists of one item are the essential ones: a passage without enough of them can't reach that item.
-        n = len(self.ids)
-        single = self.first[term + 1] - self.first[term] == 1
-        owner = self.item[self.first[term[single]]]
-        # they must also keep their distance, so that grams met by chance don't add up
-        shift = np.concatenate([local, local])[full][single] - self.place[self.first[term[single]]]
-        found = []
-        for more in (0, 32):
-            key, count = np.unique(((passage[single] * n + owner) << 20) + (((shift + more) >> 6) & 0xFFFFF), return_counts=True)
-            found.append(key[count >= OWN_GRAMS] >> 20)
-        pairs = np.unique(np.concatenate(found))
-        text_of = lambda p: np.searchsorted(begin, p, side="right") - 1
-        enough = set(zip(text_of(pairs // n).tolist(), (pairs % n).tolist()))
-        live = np.isin(passage, pairs // n)
-        if not live.any():
+        halves = lengths // half + 2  # of each text, with a gap behind
+        begin = np.cumsum(halves) - halves
+        p, item = self.retrieve(begin[doc] + local // half, term)
+        if not len(p):
             return []
-        p, item = self.retrieve(passage[live], term[live])
+        n = len(self.ids)
+        found = self.anchors(starts, at, term, np.unique((np.searchsorted(begin, p, side="right") - 1) * n + item))
         out, breaks = [], lru_cache(maxsize=1)(lambda k: Breaks(texts[k]))
-        for k, i in sorted(set(zip(text_of(p).tolist(), item.tolist()))):
+        for pair, anchors in found.items():
+            k, i = divmod(pair, n)
             a, b = np.searchsorted(doc, [k, k + 1])
-            if (k, i) in enough and self.holds(streams[k], at[a:b] - starts[k], one[a:b], i, lambda k=k: breaks(k)):
+            if self.holds(streams[k], local[a:b], term[a:b], i, anchors, lambda k=k: breaks(k)):
                 out.append((k, self.ids[i]))
         return out
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame) -> DataFrame:
-    """(key, item_id) of every document that holds a passage of an item; each pair once per row of docs.
+def several(pieces: list[list[str]]) -> np.ndarray:
+    """Hashes of the runs of SHARED_WORDS and of OWN_RUN words that stand in several of the texts."""
+    each = [np.unique(np.concatenate([run_hashes(words, n) for n in (SHARED_WORDS, OWN_RUN)])) for words in pieces]
+    h, count = np.unique(np.concatenate(each or [np.zeros(0, np.uint64)]), return_counts=True)
+    return h[count > 1]
+
+
+def _runs(batches):
+    for batch in batches:
+        for i, t in zip(*(batch.column(c).to_pylist() for c in ("item_id", "text"))):
+            words = item_words(readable(t))
+            h = np.unique(np.concatenate([run_hashes(words, n) for n in (SHARED_WORDS, OWN_RUN)])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array(h)], names=["item_id", "run"])
 
-    Items whose text is null or empty match nothing; documents likewise. The items are read once by the driver and
-    must not be more than MAX_ITEMS (evaluation sets don't grow with the corpus); the documents are never shuffled.
-    """
-    read = items.select("item_id", "text").limit(MAX_ITEMS + 1).collect()
-    if len(read) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: search them in parts")
-    index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.text) for r in read]))
+
+def _hits(docs: DataFrame, key: str, text: str, own: ItemIndex) -> DataFrame:
+    index = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
         own = index.value
         for batch in batches:
-            ids, texts = batch.column(key), batch.column(text).to_pylist()
-            hits = own.search(texts)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([k for k, _ in hits], pa.int64())), pa.array([i for _, i in hits], pa.int64())], names=[key, "item_id"]
-            )
+            ids, texts = batch.column(key), batch.column(text)
+            for lo in range(0, batch.num_rows, 1000):
+                hits = own.search(texts.slice(lo, 1000).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([lo + k for k, _ in hits], pa.int64())), pa.array([i for _, i in hits], pa.int64())], names=[key, "item_id"]
+                )
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, item_id bigint").distinct()
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, item_id bigint")
+
+
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, part_letters: int = PART_LETTERS) -> DataFrame:
+    """(key, item_id) of every document that holds a passage of an item; each pair once per row of docs.
+
+    Items whose text is null or empty match nothing; documents likewise. The items' index is a broadcast value of
+    bounded size: more than part_letters are cut into parts by a hash of their id, and the documents are searched for
+    one part after the other. What items share is found over all of them. The documents are never shuffled.
+    """
+    known = items.where(F.length("text") > 0).select("item_id", "text")
+    parts = -(-int(known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // part_letters)
+    if parts <= 1:
+        return _hits(docs, key, text, ItemIndex([(r.item_id, r.text) for r in known.collect()])).distinct()
+    runs = known.mapInArrow(_runs, "item_id bigint, run bigint")
+    shared = settle(runs.distinct().groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("run"))
+    found = []
+    for p in range(parts):
+        mine = known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
+        here = mine.mapInArrow(_runs, "item_id bigint, run bigint").join(shared, "run", "left_semi").select("run").distinct()
+        own = ItemIndex([(r.item_id, r.text) for r in mine.collect()], here.toArrow().column(0).to_numpy().view(np.uint64))
+        found.append(stored(_hits(docs, key, text, own)))  # one index at a time
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 @query("p9_found")
