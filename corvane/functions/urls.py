@@ -47,11 +47,6 @@ def normalize(url: Column | str) -> Column:
     return F.when((scheme != "") & (host != "") & ((port == "") | (number <= 65535)), whole)
 
 
-def resolve_and_normalize(hrefs: pd.Series, bases: pd.Series) -> pd.Series:
-    """RFC 3986 resolution, then the same normal form, in Python: for hrefs found in bodies."""
-    return pd.Series([normalize_text(h, b) for h, b in zip(hrefs, bases)], dtype=object)
-
-
 def normalize_text(url: str | None, base: str | None = None) -> str | None:
     """normalize() for one string, resolved against base when that is given. A url that can't be read gives None."""
     import re

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.config import CrawlOptions
-from corvane.functions.urls import disallowed_address, host_of, normalize, url_hash
+from corvane.functions.urls import disallowed_address, host_of, normalize
 from corvane.operators.skew import heavy_keys, salted_join
 from corvane.session import settle
 
@@ -150,7 +150,7 @@ def apply_results(pages: DataFrame, results: DataFrame, now: Column, options: Cr
     retry = retry_outcome(count, options)
     again = (kind == "failure") & (retry["outcome"] == "retry_scheduled")
     fetched = kind.isin("success", "not_modified")
-    recrawl = now + F.make_dt_interval(hours=F.lit(options.recrawl_hours))
+    recrawl = now + F.make_dt_interval(secs=F.lit(float(options.recrawl_hours) * 3600).cast("decimal(18,6)"))
     of = lambda c: F.when(kind == "success", F.col(f"_{c}")).otherwise(F.col(c))
     values = {
         "status": F.when(kind == "success", "crawled").when(kind == "not_modified", "not_modified").when(again, "pending")
@@ -212,13 +212,18 @@ def frontier_items(frontier: DataFrame) -> DataFrame:
     )
 
 
-def expandable(items: DataFrame, pages: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
-    """Items to follow: url readable, parent known and below the depth limit, on the parent's host unless allowed."""
+def expandable(items: DataFrame, pages: DataFrame, options: CrawlOptions = CrawlOptions(), fetched: DataFrame | None = None) -> DataFrame:
+    """Items to follow: url readable, parent known and below the depth limit, on the parent's host unless allowed.
+
+    With `fetched`, the one row of fetched_page_count, nothing is followed once it has reached max_pages.
+    """
     parents = pages.select(F.col("id").alias("parent_id"), host_of("url").alias("_host"), F.col("depth").alias("_depth"))
     joined = items.where(F.col("url").isNotNull()).join(parents, "parent_id")
     near = joined.where(F.col("_depth") < options.max_depth)
     if not options.allow_offsite_links:
         near = near.where(host_of("url") == F.col("_host"))
+    if fetched is not None:
+        near = near.crossJoin(F.broadcast(fetched.select((F.col("fetched") < options.max_pages).alias("_more")))).where("_more").drop("_more")
     return near.drop("_host", "_depth")
 
 
@@ -269,11 +274,31 @@ def accept_by_rate(items: DataFrame, domain: str, ms: str, delay_ms: str, tie: s
 # -- robots and addresses -------------------------------------------------------------------------------------------
 
 
-def robots_rules(fetched: DataFrame) -> DataFrame:
-    """(domain, robots_txt, disallow_all) from (domain, status, body): 200 gives rules, 401 and 403 forbid all, others none."""
-    return fetched.select(
-        "domain", F.when(F.col("status") == 200, F.col("body")).alias("robots_txt"), F.col("status").isin(401, 403).alias("disallow_all")
-    )
+def robots_rules(fetched: DataFrame, now: Column, agent: str = "*", default: float = CrawlOptions.crawl_delay_sec) -> DataFrame:
+    """(domain, robots_txt, robots_fetched_at, crawl_delay_sec, disallow_all) from fetches (domain, status, body), for update_robots.
+
+    Status 200 gives rules, 401 and 403 forbid all, anything else, a null status included, neither. The delay is that of
+    the text's group for the agent, never below the default, which stands where there is none.
+    """
+    text = F.when(F.col("status") == 200, F.col("body"))
+    rows = fetched.select("domain", text.alias("robots_txt"), F.coalesce(F.col("status").isin(401, 403), F.lit(False)).alias("disallow_all"))
+
+    def run(batches):
+        delays: dict = {None: None}
+        for batch in batches:
+            out = []
+            for txt in batch.column("robots_txt").to_pylist():
+                if txt not in delays:
+                    if len(delays) > 10_000:
+                        delays = {None: None}
+                    parser = RobotFileParser()
+                    parser.parse(txt.splitlines())
+                    delays[txt] = parser.crawl_delay(agent)
+                out.append(None if delays[txt] is None else float(delays[txt]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=["domain", "robots_txt", "disallow_all", "delay"])
+
+    parsed = rows.mapInArrow(run, "domain string, robots_txt string, disallow_all boolean, delay double")
+    return parsed.select("domain", "robots_txt", now.alias("robots_fetched_at"), crawl_delay(F.col("delay"), default).alias("crawl_delay_sec"), "disallow_all")
 
 
 def robots_allow(urls: DataFrame, domains: DataFrame, agent: str = "*") -> DataFrame:
@@ -310,6 +335,3 @@ def safe_addresses(resolved: DataFrame) -> DataFrame:
         "reachable", F.size("addresses") > 0
     )
 
-
-def with_hashes(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("url_hash", url_hash("url"))

@@ -66,27 +66,35 @@ def norms_incremental(postings: DataFrame, sequence: DataFrame) -> DataFrame:
     return w.groupBy("page_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def reindex(postings: DataFrame, terms: DataFrame, fresh: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, terms) after the pages in `changed` (page_id) got the postings `fresh`, those of other pages kept.
+def reindexed(postings: DataFrame, fresh: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, deltas) after the pages in `changed` (page_id) got the postings `fresh`, those of other pages kept.
 
-    A page's old terms that it has no more lower doc_freq (never below 0), new ones raise it; terms it keeps don't
-    touch it. `postings` is read twice and should be a stored table. Terms whose doc_freq falls to 0 stay, as unused. Changed pages without fresh postings lose theirs.
+    deltas is (term, lost, won): how many of the changed pages have a term no more (negative), and how many have it
+    newly; terms that a page keeps don't count. `postings` is read twice and should be a stored table.
     """
     fresh = settle(fresh)
     once = changed.select("page_id").distinct()
     old = postings.join(once, "page_id", "left_semi")
     pairs = ["term", "page_id"]
-    lost = old.join(fresh, pairs, "left_anti").groupBy("term").agg(F.count("*").alias("n")).select("term", (-F.col("n")).alias("n"))
-    won = fresh.join(old, pairs, "left_anti").groupBy("term").agg(F.count("*").alias("n"))
-    delta = lost.unionByName(won).groupBy("term").agg(
-        F.sum(F.when(F.col("n") < 0, F.col("n")).otherwise(0)).alias("lost"), F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("won")
-    )
-    freq = terms.join(delta, "term", "full_outer").select(
-        "term",
-        (F.greatest(F.coalesce("doc_freq", F.lit(0)) + F.coalesce("lost", F.lit(0)), F.lit(0)) + F.coalesce("won", F.lit(0))).alias("doc_freq"),
-    )
+    lost = old.join(fresh, pairs, "left_anti").groupBy("term").agg((-F.count("*")).alias("lost"), F.lit(0).cast("long").alias("won"))
+    won = fresh.join(old, pairs, "left_anti").groupBy("term").agg(F.lit(0).cast("long").alias("lost"), F.count("*").alias("won"))
+    deltas = lost.unionByName(won).groupBy("term").agg(F.sum("lost").alias("lost"), F.sum("won").alias("won"))
     kept = postings.join(once, "page_id", "left_anti")
-    return kept.select("term", "page_id", "tf").unionByName(fresh.select("term", "page_id", "tf")), freq
+    return kept.select("term", "page_id", "tf").unionByName(fresh.select("term", "page_id", "tf")), deltas
+
+
+def reindex(postings: DataFrame, terms: DataFrame, fresh: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, terms) after a change as in `reindexed`.
+
+    A page's old terms that it has no more lower doc_freq (never below 0), new ones raise it; terms it keeps don't
+    touch it. Terms whose doc_freq falls to 0 stay, as unused. Changed pages without fresh postings lose theirs.
+    """
+    after, deltas = reindexed(postings, fresh, changed)
+    none = F.lit(0)
+    freq = terms.join(deltas, "term", "full_outer").select(
+        "term", (F.greatest(F.coalesce("doc_freq", none) + F.coalesce("lost", none), none) + F.coalesce("won", none)).alias("doc_freq")
+    )
+    return after, freq
 
 
 def pages_needing_index(pages: DataFrame, limit: int) -> DataFrame:

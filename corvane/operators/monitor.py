@@ -53,3 +53,18 @@ def quantile(buckets: DataFrame, by: list[str], share: float) -> DataFrame:
 
 def counter(events: DataFrame, label: str | Column) -> DataFrame:
     return events.groupBy(label).agg(F.count("*").alias("total"))
+
+
+def windowed_quantile(events: DataFrame, ts: str, by: str, value: str, share: float, width_sec: int = 300, bounds: tuple[float, ...] = FETCH_BUCKETS) -> DataFrame:
+    """(window_start, by, value): the quantile of each window from its histogram; windows without events have no row."""
+    timed = events.where(F.col(ts).isNotNull()).select(F.window(ts, f"{width_sec} seconds").start.alias("window_start"), by, value)
+    return quantile(histogram(timed, ["window_start", by], value, bounds), ["window_start", by], share)
+
+
+def exposition(samples: DataFrame, name: str, label: str, value: str) -> DataFrame:
+    """(line) of the text form in which metrics are scraped; label values are escaped, samples without a value left out."""
+    escaped = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    for sign, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(shown))
+    known = samples.where(F.col(value).isNotNull())
+    return known.select(F.concat(F.lit(f'{name}{{{label}="'), escaped, F.lit('"} '), F.col(value).cast("string")).alias("line"))

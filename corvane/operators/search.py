@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.config import SearchOptions
 from corvane.functions.html import extract_pages
 from corvane.functions.text import ASCII, idf, snippet, tf_weight, tokenize
+from corvane.functions.urls import host_of
 from corvane.sources.tables import clean_postings, current_pages, latest
 
 
@@ -96,9 +97,18 @@ def stats(index_stats: DataFrame, pages: DataFrame) -> DataFrame:
     return index_stats.agg(pick("total_docs"), pick("total_terms")).crossJoin(last)
 
 
+def shown(hits: DataFrame) -> DataFrame:
+    """hits with shown_title and shown_domain: the url for want of a title, its host or else itself for want of a domain."""
+    url = F.col("url")
+    return hits.withColumn("shown_title", F.coalesce(F.nullif("title", F.lit("")), url)).withColumn(
+        "shown_domain", F.coalesce(F.nullif("domain", F.lit("")), host_of("url"), url)
+    )
+
+
 def as_response(q: str, hits: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row: the JSON body of a search response, without the time it took."""
-    rows = hits.select(F.struct("url", "title", "snippet", "score", "domain", "pagerank").alias("r"), "score", "page_id")
+    """One row: the JSON body of a search response, without the time it took. Nulls are written, numbers in plain decimals."""
+    plain = lambda c: F.col(c).cast("decimal(18,4)").alias(c)
+    rows = hits.select(F.struct("url", "title", "snippet", plain("score"), "domain", plain("pagerank")).alias("r"), "score", "page_id")
     listed = rows.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "page_id", "r"))).alias("l"))  # at most `limit` rows
     body = F.struct(F.lit(q).alias("query"), F.col("total_matches"), F.transform("l", lambda x: x["r"]).alias("results"))
-    return listed.crossJoin(matches).select(F.to_json(body).alias("response"))
+    return listed.crossJoin(matches).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))

@@ -90,18 +90,34 @@ def ensure_domain(spark, where):
     return crawl.ensure_domains(table(spark, where, "domains").distinct(), hosts).select("domain", "crawl_delay_sec", "disallow_all")
 
 
+ROBOTS = """rb AS (SELECT domain, max(robots_txt) AS txt FROM domains WHERE domain IS NOT NULL GROUP BY 1),
+    rules AS (SELECT domain, txt AS robots_txt, greatest(coalesce(try_cast(regexp_extract(txt, '(?im)^crawl-delay: *([0-9]+) *$', 1) AS DOUBLE), 3.0), 3.0) AS crawl_delay_sec,
+        txt IS NULL AND length(domain) % 2 = 0 AS disallow_all FROM rb)"""
+
+
+def fetched_robots(spark, where):
+    """A fetch of each domain's robots.txt: the stored text with status 200; without one 403 or 404, by the name's length."""
+    known = table(spark, where, "domains").where(F.col("domain").isNotNull()).groupBy("domain").agg(F.max("robots_txt").alias("body"))
+    status = F.when(F.col("body").isNotNull(), 200).when(F.length("domain") % 2 == 0, 403).otherwise(404)
+    return crawl.robots_rules(known.withColumn("status", status), now())
+
+
+@query("robots_rules", f"WITH {ROBOTS} SELECT domain, robots_txt, crawl_delay_sec, disallow_all FROM rules")
+def robots_rules(spark, where):
+    return fetched_robots(spark, where).select("domain", "robots_txt", "crawl_delay_sec", "disallow_all")
+
+
 @query(
     "update_robots",
-    f"""WITH {NUM_PAGES}, n AS (SELECT {HOST.format('url')} AS domain, 3.0 + count(*) % 5 AS delay, bool_or(http_status IN (401, 403)) AS never FROM cur GROUP BY 1),
-    d AS (SELECT DISTINCT * FROM domains) SELECT coalesce(d.domain, n.domain) AS domain, CASE WHEN n.domain IS NULL THEN crawl_delay_sec ELSE delay END AS crawl_delay_sec,
-    CASE WHEN n.domain IS NULL THEN disallow_all ELSE coalesce(never, false) END AS disallow_all FROM d FULL JOIN n ON d.domain = n.domain""",
+    f"""WITH {ROBOTS}, d AS (SELECT DISTINCT * FROM domains)
+    SELECT coalesce(d.domain, n.domain) AS domain, CASE WHEN n.domain IS NULL THEN d.robots_txt ELSE n.robots_txt END AS robots_txt,
+    CASE WHEN n.domain IS NULL THEN d.crawl_delay_sec ELSE n.crawl_delay_sec END AS crawl_delay_sec,
+    CASE WHEN n.domain IS NULL THEN d.disallow_all ELSE n.disallow_all END AS disallow_all, n.domain IS NOT NULL AS fetched FROM d FULL JOIN rules n ON d.domain = n.domain""",
 )
 def update_robots(spark, where):
-    """Domains after a fetch of robots.txt for each host of pages; delays and refusals derived from the pages."""
-    fetched = pages(spark, where, "url", "http_status").groupBy(host_of("url").alias("domain")).agg(
-        (F.lit(3.0) + F.count("*") % 5).alias("crawl_delay_sec"), F.coalesce(F.bool_or(F.col("http_status").isin(401, 403)), F.lit(False)).alias("disallow_all")
-    ).withColumns({"robots_txt": F.lit(None).cast("string"), "robots_fetched_at": now()})
-    return crawl.update_robots(table(spark, where, "domains").distinct(), fetched).select("domain", "crawl_delay_sec", "disallow_all")
+    """Domains after a fetch of robots.txt for each."""
+    after = crawl.update_robots(table(spark, where, "domains").distinct(), fetched_robots(spark, where))
+    return after.select("domain", "robots_txt", "crawl_delay_sec", "disallow_all", F.col("robots_fetched_at").eqNullSafe(now()).alias("fetched"))
 
 
 @query(
@@ -114,15 +130,60 @@ def conditional_headers(spark, where):
 
 @query(
     "insert_links",
-    f"""WITH {NUM_PAGES}, {ITEMS}, f AS (SELECT parent_id AS src_page_id, key AS dst_url, row_number() OVER (PARTITION BY parent_id, key ORDER BY ms * 1000 + seq) AS r FROM k WHERE key IS NOT NULL AND parent_id IS NOT NULL)
-    SELECT src_page_id, dst_url, cur.id AS dst_page_id FROM f LEFT JOIN cur ON cur.url = dst_url
+    f"""WITH {NUM_PAGES}, {ITEMS}, f AS (SELECT parent_id AS src_page_id, key AS dst_url, entry_id, row_number() OVER (PARTITION BY parent_id, key ORDER BY ms * 1000 + seq, entry_id) AS r FROM k WHERE key IS NOT NULL AND parent_id IS NOT NULL)
+    SELECT src_page_id, dst_url, cur.id AS dst_page_id, entry_id AS anchor_text FROM f LEFT JOIN cur ON cur.url = dst_url
     WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM links l WHERE l.src_page_id = f.src_page_id AND l.dst_url = f.dst_url)""",
 )
 def insert_links(spark, where):
+    """Links found by the frontier's entries, whose ids stand for the anchors' texts."""
     found = items(spark, where).where(F.col("url").isNotNull() & F.col("parent_id").isNotNull()).select(
-        F.col("parent_id").alias("src_page_id"), F.col("url").alias("dst_url"), F.lit("").alias("anchor_text"), (F.col("ms") * 1000 + F.col("seq")).alias("pos")
+        F.col("parent_id").alias("src_page_id"), F.col("url").alias("dst_url"), F.col("entry_id").alias("anchor_text"), (F.col("ms") * 1000 + F.col("seq")).alias("pos")
+    )
+    return crawl.insert_links(table(spark, where, "links").select("src_page_id", "dst_url"), pages(spark, where, "url"), found)
+
+
+@query(
+    "page_cap",
+    f"WITH {NUM_PAGES}, {ITEMS}, c AS (SELECT count(*) AS n FROM cur WHERE status IN ('crawled', 'not_modified')) SELECT entry_id FROM k JOIN cur p ON p.id = parent_id, c WHERE key IS NOT NULL AND p.depth < 2 AND {HOST.format('key')} = {HOST.format('p.url')} AND c.n < 2000",
+)
+def page_cap(spark, where):
+    """Entries to follow while fewer than 2000 pages are fetched."""
+    p = pages(spark, where, "url", "depth", "status")
+    return crawl.expandable(items(spark, where), p, CrawlOptions(max_pages=2000), crawl.fetched_page_count(p)).select("entry_id")
+
+
+@query("mark_in_progress", f"WITH {NUM_PAGES}, d AS (SELECT id FROM cur WHERE status = 'pending' AND next_retry_at <= TIMESTAMPTZ '{NOW}+00' ORDER BY next_retry_at, id LIMIT 50) SELECT id, CASE WHEN id IN (SELECT id FROM d) THEN 'in_progress' ELSE status END AS status FROM cur")
+def mark_in_progress(spark, where):
+    p = pages(spark, where, "status", "next_retry_at")
+    return crawl.mark_in_progress(p, crawl.due_for_retry(p, now())).select("id", "status")
+
+
+@query(
+    "content_types",
+    f"""WITH {NUM_PAGES}, t AS (SELECT id, ['text/html; charset=utf-8', 'application/xhtml+xml', 'application/pdf', 'TEXT/HTML', NULL, ''][id % 6 + 1] AS kind FROM cur)
+    SELECT id, coalesce(lower(kind) LIKE '%text/html%' OR lower(kind) LIKE '%xhtml%', false) AS html FROM t""",
+)
+def content_types(spark, where):
+    """A content type by page id, and whether it is html."""
+    kinds = F.array(*[F.lit(k) for k in ("text/html; charset=utf-8", "application/xhtml+xml", "application/pdf", "TEXT/HTML")], F.lit(None).cast("string"), F.lit(""))
+    return pages(spark, where, "depth").select("id", crawl.is_html(F.element_at(kinds, (F.col("id") % 6 + 1).cast("int"))).alias("html"))
+
+
+@query(
+    "bloom_membership",
+    f"WITH {ITEMS} SELECT count(*) AS asked, count(*) FILTER (u.key IN (SELECT url FROM pages)) AS known, 0 AS missed, true AS few_wrong FROM (SELECT DISTINCT key FROM k WHERE key IS NOT NULL) u",
+)
+def bloom_membership(spark, where):
+    """Every frontier url against a filter of the pages' urls: none of pages may be denied, and no more than 2 % of the others claimed."""
+    from corvane.functions import bloom
+
+    known = table(spark, where, "pages").select("url").where(F.col("url").isNotNull()).distinct()
+    asked = items(spark, where).select("url")
+    told = bloom.might_contain(asked, "url", bloom.set_bits(known, "url")).join(known.withColumn("known", F.lit(True)), "url", "left")
+    return told.agg(
+        F.count("*").alias("asked"), F.count_if("known").alias("known"), F.count_if(F.col("known") & ~F.col("maybe")).alias("missed"),
+        (F.count_if(F.col("known").isNull() & F.col("maybe")) <= F.greatest(F.lit(3), 0.02 * F.count("*"))).alias("few_wrong"),
     )
-    return crawl.insert_links(table(spark, where, "links").select("src_page_id", "dst_url"), pages(spark, where, "url"), found).drop("anchor_text")
 
 
 @query("fetched_page_count", f"WITH {NUM_PAGES} SELECT count(*) AS fetched FROM cur WHERE status IN ('crawled', 'not_modified')")
@@ -169,27 +230,38 @@ def retry_outcome(spark, where):
 RESULT_KIND = "CASE id % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'not_modified' WHEN 2 THEN 'failure' WHEN 3 THEN 'permanent' ELSE 'skipped' END"
 
 
+COPIED = ("title", "content_hash", "etag", "last_modified", "minio_key")
+_MICROS = "epoch_us({0}) - epoch_us(TIMESTAMPTZ '" + NOW + "+00')"
+
+
 @query(
     "page_status_fold",
     f"""WITH {NUM_PAGES}, r AS (SELECT *, {RESULT_KIND} AS kind, coalesce(retry_count, 0) + 1 AS n FROM cur)
     SELECT id, CASE kind WHEN 'success' THEN 'crawled' WHEN 'not_modified' THEN 'not_modified' WHEN 'failure' THEN CASE WHEN n > 3 THEN 'failed' ELSE 'pending' END
         WHEN 'permanent' THEN 'failed' ELSE 'skipped' END AS status, CASE WHEN kind = 'failure' THEN n ELSE retry_count END AS retry_count,
-    CASE WHEN kind = 'success' AND first_crawled_at IS NULL THEN true ELSE first_crawled_at IS NOT NULL END AS was_crawled,
-    CASE WHEN kind = 'failure' AND n <= 3 THEN least(5.0 * pow(2.0, n - 1), 300.0) END AS wait_sec,
+    CASE WHEN kind <> 'skipped' THEN 200 + id % 7 ELSE http_status END AS http_status,
+    {", ".join(f"CASE WHEN kind = 'success' THEN 'new {c} ' || id ELSE {c} END AS {c}" for c in COPIED)},
+    CASE WHEN kind = 'success' THEN id % 1000 ELSE content_length END AS content_length,
+    CASE WHEN kind = 'success' AND first_crawled_at IS NULL THEN 0 ELSE {_MICROS.format("first_crawled_at")} END AS first_crawled,
+    CASE WHEN kind <> 'skipped' THEN 0 ELSE {_MICROS.format("last_crawled_at")} END AS last_crawled,
+    CASE WHEN kind IN ('success', 'not_modified') THEN 86400000000 WHEN kind = 'skipped' THEN {_MICROS.format("next_crawl_at")} END AS next_crawl,
+    CASE WHEN kind = 'failure' AND n <= 3 THEN (least(5.0 * pow(2.0, n - 1), 300.0) * 1000000)::BIGINT END AS wait,
     CASE WHEN kind IN ('success', 'not_modified') THEN NULL ELSE substr(repeat('x', 2500), 1, 2000) END AS error FROM r""",
 )
 def page_status_fold(spark, where):
-    """One batch of results, whose kinds follow from the ids, applied to all pages."""
+    """One batch of results, whose kinds and values follow from the ids, applied to all pages; times in microseconds from now."""
     p = pages(spark, where, *[c for c in table(spark, where, "pages").columns if c != "id"])
     kind = F.element_at(F.array(*[F.lit(k) for k in ("success", "not_modified", "failure", "permanent", "skipped")]), (F.col("id") % 5 + 1).cast("int"))
-    nothing = F.lit(None).cast("string")
     results = p.select(
-        "id", kind.alias("kind"), F.lit(200).alias("http_status"), *[nothing.alias(c) for c in ("title", "content_hash", "etag", "last_modified", "minio_key")],
-        F.lit(None).cast("int").alias("content_length"), F.repeat(F.lit("x"), F.lit(2500)).alias("error"),
+        "id", kind.alias("kind"), (200 + F.col("id") % 7).cast("int").alias("http_status"), *[F.concat(F.lit(f"new {c} "), "id").alias(c) for c in COPIED],
+        (F.col("id") % 1000).cast("int").alias("content_length"), F.repeat(F.lit("x"), F.lit(2500)).alias("error"),
     )
     after = crawl.apply_results(p, results, now())
-    wait = F.col("next_retry_at").cast("double") - now().cast("double")
-    return after.select("id", "status", "retry_count", F.col("first_crawled_at").isNotNull().alias("was_crawled"), wait.alias("wait_sec"), "error")
+    since = lambda c: F.unix_micros(c) - F.unix_micros(now())
+    times = {"first_crawled": "first_crawled_at", "last_crawled": "last_crawled_at", "next_crawl": "next_crawl_at", "wait": "next_retry_at"}
+    return after.select(
+        "id", "status", "retry_count", "http_status", *COPIED, "content_length", *[since(c).alias(n) for n, c in times.items()], "error"
+    )
 
 
 @query(
@@ -252,9 +324,28 @@ def robots_allow(spark, where):
     return crawl.robots_allow(table(spark, where, "pages").select("url"), table(spark, where, "domains"))
 
 
-@query("ssrf_check")
+# Ranges of addresses that are private, loopback, link-local, multicast, reserved or unspecified.
+FORBIDDEN = """0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15
+198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4""".split()
+
+
+def _forbidden_sql(number: str) -> str:
+    out = []
+    for net in FORBIDDEN:
+        base, bits = net.split("/")
+        a, b, c, d = map(int, base.split("."))
+        first = ((a * 256 + b) * 256 + c) * 256 + d
+        out.append(f"{number} BETWEEN {first} AND {first + (1 << (32 - int(bits))) - 1}")
+    return " OR ".join(out)
+
+
+@query(
+    "ssrf_check",
+    f"""WITH {NUM_PAGES}, p AS (SELECT id, id * 2654435761 % 4294967296 AS n FROM cur)
+    SELECT id, (n // 16777216) || '.' || (n // 65536 % 256) || '.' || (n // 256 % 256) || '.' || (n % 256) AS ip, {_forbidden_sql("n")} AS disallowed FROM p""",
+)
 def ssrf_check(spark, where):
     """An address made from each page id, and whether it is forbidden."""
-    p = pages(spark, where, "depth")
-    ip = F.concat_ws(".", *[(F.shiftright("id", 2 * i) % 256).cast("string") for i in range(4)])
+    p = pages(spark, where, "depth").withColumn("n", F.col("id") * 2654435761 % 4294967296)
+    ip = F.concat_ws(".", *[(F.floor(F.col("n") / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)])
     return p.select("id", ip.alias("ip"), disallowed_address(ip).alias("disallowed"))

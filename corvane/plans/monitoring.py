@@ -55,6 +55,34 @@ def metrics_quantile(spark, where):
     return monitor.quantile(monitor.histogram(events(spark, where), ["event_type"], "value"), ["event_type"], 0.95)
 
 
+def _quantile_5m_sql(share: float) -> str:
+    cells = ", ".join(f"({b}::DOUBLE)" for b in monitor.FETCH_BUCKETS)
+    return f"""WITH les(le) AS (VALUES {cells}, ('infinity'::DOUBLE)),
+    h AS (SELECT time_bucket(INTERVAL 300 SECOND, ts) AS window_start, event_type, le, count(*) FILTER (value <= le) AS n FROM events, les GROUP BY 1, 2, 3),
+    r AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(n) OVER w, 0) AS below, max(n) OVER (PARTITION BY window_start, event_type) AS total FROM h WINDOW w AS (PARTITION BY window_start, event_type ORDER BY le)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY window_start, event_type ORDER BY le) AS k FROM r WHERE n >= {share} * total AND total > 0)
+    SELECT window_start, event_type, round(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * ({share} * total - below) / greatest(n - below, 1) END, 9) AS value FROM f WHERE k = 1"""
+
+
+def _quantile_5m(spark, where, share):
+    return monitor.windowed_quantile(events(spark, where), "ts", "event_type", "value", share).withColumn("value", F.round("value", 9))
+
+
+@query("metrics_p50_5m", _quantile_5m_sql(0.5))
+def metrics_p50_5m(spark, where):
+    return _quantile_5m(spark, where, 0.5)
+
+
+@query("metrics_p95_5m", _quantile_5m_sql(0.95))
+def metrics_p95_5m(spark, where):
+    return _quantile_5m(spark, where, 0.95)
+
+
+@query("metrics_exposition", """SELECT 'events_total{event_type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
+def metrics_exposition(spark, where):
+    return monitor.exposition(monitor.counter(events(spark, where), "event_type"), "events_total", "event_type", "total")
+
+
 @query("metrics_counters", "SELECT event_type, count(*) AS total FROM events GROUP BY 1")
 def metrics_counters(spark, where):
     return monitor.counter(events(spark, where), "event_type")

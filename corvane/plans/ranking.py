@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions.html import extract_pages
 from corvane.functions.text import tokenize
 from corvane.operators import search
-from corvane.plans.registry import BODIES, NUM_PAGES, POSTS, query
+from corvane.plans.registry import BODIES, HOST, NUM_PAGES, POSTS, query
 from corvane.session import settle
 from corvane.sources.tables import bodies_of_pages, current_pages, table
 
@@ -68,16 +68,16 @@ def _hits(spark, where, q):
     return search.search(spark, q, postings, terms, scored, table(spark, where, "pages"), table(spark, where, "html_objects"), n)
 
 
-@query(
-    "search_topk",
-    f"""WITH {_ranked_sql(MANY)}, {BODIES},
+TOP = f"""WITH {_ranked_sql(MANY)}, {BODIES},
     r AS (SELECT page_id, url, title, domain, score, pr, {text_sql("html")} AS text FROM top JOIN cur ON id = page_id LEFT JOIN bodies USING (minio_key)),
-    s AS (SELECT *, length(text) AS len, list_min(list_filter([{", ".join(f"strpos(lower(text), '{t}')" for t in sorted(set(tokenize(MANY))))}], lambda x: x > 0)) - 1 AS p FROM r)
-    SELECT page_id, url, title, domain, round(score, 4) AS score, round(pr, 4) AS pagerank,
+    s AS (SELECT *, length(text) AS len, list_min(list_filter([{", ".join(f"strpos(lower(text), '{t}')" for t in sorted(set(tokenize(MANY))))}], lambda x: x > 0)) - 1 AS p FROM r),
+    hits AS (SELECT page_id, url, title, domain, round(score, 4) AS score, round(pr, 4) AS pagerank,
     coalesce(trim(regexp_replace(CASE WHEN p IS NULL THEN substr(text, 1, 320) ELSE CASE WHEN p > 80 THEN '… ' ELSE '' END ||
     substr(text, greatest(0, p - 80) + 1, least(len, p + 160) - greatest(0, p - 80)) || CASE WHEN least(len, p + 160) < len THEN ' …' ELSE '' END END,
-    '\\s+', ' ', 'g')), '') AS snippet FROM s""",
-)
+    '\\s+', ' ', 'g')), '') AS snippet FROM s)"""
+
+
+@query("search_topk", f"{TOP} SELECT * FROM hits")
 def search_topk(spark, where):
     return _hits(spark, where, MANY)
 
@@ -101,12 +101,28 @@ def _matches(spark, where, q):
     return search.total_matches(search.query_terms(spark, q), search.postings_of_terms(table(spark, where, "postings"), sorted(set(tokenize(q)))))
 
 
-@query("search_response")
+@query(
+    "search_response",
+    f"""{TOP}, m AS (SELECT count(DISTINCT page_id) AS n FROM posts JOIN q USING (term)),
+    o AS (SELECT string_agg('{{"url":' || to_json(url) || ',"title":' || coalesce(to_json(title)::VARCHAR, 'null') || ',"snippet":' || to_json(snippet) ||
+        ',"score":' || score::DECIMAL(18, 4) || ',"domain":' || coalesce(to_json(domain)::VARCHAR, 'null') || ',"pagerank":' || pagerank::DECIMAL(18, 4) || '}}', ',' ORDER BY score DESC, page_id) AS l FROM hits)
+    SELECT '{{"query":' || to_json('{MANY}') || ',"total_matches":' || n || ',"results":[' || coalesce(l, '') || ']}}' AS response FROM o, m""",
+)
 def search_response(spark, where):
     """The JSON body of the response."""
     return search.as_response(MANY, _hits(spark, where, MANY), _matches(spark, where, MANY))
 
 
+@query(
+    "search_shown",
+    f"""WITH {NUM_PAGES} SELECT id, CASE WHEN title <> '' THEN title ELSE url END AS shown_title,
+    CASE WHEN domain <> '' THEN domain ELSE coalesce(nullif({HOST.format("url")}, ''), url) END AS shown_domain FROM cur""",
+)
+def search_shown(spark, where):
+    """What a result shows for each page: fallbacks for missing titles and domains."""
+    return search.shown(current_pages(table(spark, where, "pages"), "url", "title", "domain")).select("id", "shown_title", "shown_domain")
+
+
 @query(
     "stats",
     f"""WITH {NUM_PAGES} SELECT count(last_indexed_hash) AS total_docs, (SELECT count(*) FROM terms WHERE doc_freq > 0) AS total_terms,

@@ -36,8 +36,3 @@ METRIC = "ts TIMESTAMP, metric STRING, labels MAP<STRING, STRING>, value DOUBLE"
 
 def table_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[name])
-
-
-def seed_index_stats(spark):
-    """The statistics table of an empty index."""
-    return spark.sql("SELECT 'total_docs' AS key, CAST(0 AS DOUBLE) AS value, current_timestamp() AS updated_at")

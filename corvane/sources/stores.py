@@ -9,8 +9,14 @@ from corvane.schemas import FETCH_RESULT
 
 # The addresses a crawl starts from.
 SEED_URLS = [
-    "https://en.wikipedia.org/wiki/" + page
-    for page in "Web_crawler Search_engine Information_retrieval PageRank Inverted_index Tf%E2%80%93idf Robots_exclusion_standard Bloom_filter".split()
+    "https://en.wikipedia.org/wiki/Web_crawler",
+    "https://en.wikipedia.org/wiki/Search_engine",
+    "https://en.wikipedia.org/wiki/Information_retrieval",
+    "https://en.wikipedia.org/wiki/PageRank",
+    "https://en.wikipedia.org/wiki/Inverted_index",
+    "https://en.wikipedia.org/wiki/Tf%E2%80%93idf",
+    "https://en.wikipedia.org/wiki/Robots_exclusion_standard",
+    "https://en.wikipedia.org/wiki/Bloom_filter",
 ]
 
 

@@ -93,7 +93,7 @@ def test_upserts(spark):
 
 def test_robots(spark):
     fetched = spark.createDataFrame([("a", 200, "User-agent: *\nDisallow: /no"), ("b", 403, None), ("c", 404, "x")], "domain string, status int, body string")
-    rules = crawl.robots_rules(fetched)
+    rules = crawl.robots_rules(fetched, now())
     urls = spark.createDataFrame([("http://a/no/1",), ("http://a/yes",), ("http://b/",), ("http://c/no",), ("http://d/",), ("bad",)], "url string")
     got = {r.url: r.allowed for r in crawl.robots_allow(urls, rules).collect()}
     assert got == {"http://a/no/1": False, "http://a/yes": True, "http://b/": False, "http://c/no": True, "http://d/": True}
@@ -101,6 +101,40 @@ def test_robots(spark):
     assert {r.host: (r.addresses, r.reachable) for r in crawl.safe_addresses(resolved).collect()} == {"h": (["8.8.8.8"], True), "g": ([], False)}
 
 
+def test_robots_delay_and_fetch_time(spark):
+    texts = [("a", 200, "User-agent: *\nCrawl-delay: 7\nDisallow: /x"), ("b", 200, "User-agent: *\nCrawl-delay: 1"), ("c", 200, "User-agent: other\nCrawl-delay: 9"), ("d", 401, None), ("e", None, None), ("f", 200, "")]
+    got = {r.domain: r for r in crawl.robots_rules(spark.createDataFrame(texts, "domain string, status int, body string"), now()).collect()}
+    assert {d: r.crawl_delay_sec for d, r in got.items()} == {"a": 7, "b": 3, "c": 3, "d": 3, "e": 3, "f": 3}
+    assert got["d"].disallow_all and not got["e"].disallow_all and got["e"].robots_txt is None and got["a"].robots_fetched_at == dt.datetime(2025, 1, 1)
+    known = spark.createDataFrame([("a", None, None, 3.0, False), ("z", "t", None, 5.0, True)], "domain string, robots_txt string, robots_fetched_at timestamp, crawl_delay_sec double, disallow_all boolean")
+    after = {r.domain: r for r in crawl.update_robots(known, crawl.robots_rules(spark.createDataFrame(texts, "domain string, status int, body string"), now())).collect()}
+    assert after["a"].crawl_delay_sec == 7 and after["a"].robots_fetched_at and after["z"].crawl_delay_sec == 5 and len(after) == 7
+
+
+def test_page_cap(spark):
+    pages = spark.createDataFrame([(1, "http://a/", 0, "crawled"), (2, "http://a/2", 1, "not_modified")], "id bigint, url string, depth int, status string")
+    items = spark.createDataFrame([("e", "http://a/3", 1)], "entry_id string, url string, parent_id bigint")
+    fetched = crawl.fetched_page_count(pages)
+    assert crawl.expandable(items, pages, CrawlOptions(max_pages=3), fetched).count() == 1
+    assert crawl.expandable(items, pages, CrawlOptions(max_pages=2), fetched).count() == 0
+
+
+def test_half_hour_recrawl(spark):
+    p = page_frame(spark, [(1, "u", "pending")])
+    r = spark.createDataFrame([(1, "not_modified")], "id bigint, kind string").select("id", "kind", F.lit(304).alias("http_status"), *[F.lit("v").alias(c) for c in ("title", "content_hash", "etag", "last_modified", "minio_key", "error")], F.lit(9).alias("content_length"))
+    got = crawl.apply_results(p, r, now(), CrawlOptions(recrawl_hours=0.5)).first()
+    assert got.next_crawl_at - got.last_crawled_at == dt.timedelta(minutes=30)
+
+
+def test_windows_and_exposition(spark):
+    base = dt.datetime(2025, 1, 1)
+    df = spark.createDataFrame([(base + dt.timedelta(seconds=s), "ok", v) for s, v in ((0, 0.05), (10, 0.3), (400, 3.0))] + [(None, "ok", 1.0)], "ts timestamp, kind string, v double")
+    got = {r.window_start.minute: r.value for r in monitor.windowed_quantile(df, "ts", "kind", "v", 0.5).collect()}
+    assert got == {0: pytest.approx(0.1), 5: pytest.approx(2.0 + 3.0 * 0.5)}
+    lines = monitor.exposition(spark.createDataFrame([('a"b\\c', 2), (None, 3), ("x", None)], "k string, n int"), "m", "k", "n").collect()
+    assert {r.line for r in lines} == {'m{k="a\\"b\\\\c"} 2', 'm{k=""} 3'}
+
+
 def test_outcomes(spark):
     df = spark.createDataFrame([(304, None), (200, None), (200, "not html"), (0, "x"), (None, None), (503, None)], "s int, e string")
     assert [r.o for r in df.select(crawl.fetch_outcome(F.col("s"), F.lit(False), F.col("e")).alias("o")).collect()] == ["not_modified", "success", "non_html_retry", "error", "error", "http_503"]

@@ -1,8 +1,10 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
 from corvane import config
-from corvane.functions import html, text, urls
+from corvane.functions import bloom, html, text, urls
 
 TOKENS = [
     ("Hello World", ["hello", "world"]),
@@ -100,6 +102,31 @@ def test_extract_pages(spark):
 
 
 def test_options():
-    got = config.from_env(config.CrawlOptions, {"MAX_DEPTH": "5", "ALLOW_OFFSITE_LINKS": "Yes", "CRAWL_DELAY_SEC": "1.5"})
-    assert (got.max_depth, got.allow_offsite_links, got.crawl_delay_sec, got.max_pages) == (5, True, 1.5, 200)
+    got = config.from_env(config.CrawlOptions, {"MAX_DEPTH": "5", "ALLOW_OFFSITE_LINKS": "Yes", "DEFAULT_CRAWL_DELAY_SECONDS": "1.5", "RECRAWL_INTERVAL_HOURS": "0.5", "CRAWL_DELAY_SEC": "9"})
+    assert (got.max_depth, got.allow_offsite_links, got.crawl_delay_sec, got.max_pages, got.recrawl_hours) == (5, True, 1.5, 200, 0.5)
+    assert config.from_env(config.SearchOptions, {"PAGERANK_BOOST_ALPHA": "0.5"}).alpha == 0.5 and config.from_env(config.IndexOptions, {}).batch_size == 25
+    assert set(config.VARIABLES) <= {f.name for k in (config.CrawlOptions, config.IndexOptions, config.SearchOptions) for f in dataclasses.fields(k)}
     assert config.parse_bool("off") is False and config.parse_bool(None, True) is True
+
+
+def test_bloom(spark):
+    import hashlib
+
+    keys = spark.createDataFrame([(f"http://h/{i}",) for i in range(500)] + [(None,), ("",), ("http://h/1",)], "url string")
+    row = keys.where("url = 'http://h/7'").select(bloom.places(F.col("url"), 1 << 16, 7).alias("p")).first().p
+    assert row == [int.from_bytes(hashlib.blake2b(b"http://h/7", digest_size=8, salt=str(k).encode() + b"\0" * 15).digest(), "big") % (1 << 16) for k in range(7)]
+    bits = bloom.set_bits(keys, "url", 1 << 16, 7)
+    assert bloom.might_contain(keys, "url", bits, 1 << 16, 7).where("not maybe").count() == 0
+    others = spark.createDataFrame([(f"http://g/{i}",) for i in range(1000)], "url string")
+    assert bloom.might_contain(others, "url", bits, 1 << 16, 7).where("maybe").count() < 10
+    assert bloom.might_contain(others, "url", bits.limit(0)).where("maybe").count() == 0
+    with pytest.raises(ValueError):
+        bloom.places(F.col("url"), 0)
+
+
+def test_folding_in_one_pass(spark):
+    df = spark.createDataFrame([(1, " Page "), (2, "\uff30age"), (3, None), (4, ""), (5, "\ufb01n")], "id int, t string")
+    plan = text.fold_term(df, "t")
+    assert {r.id: r.t for r in plan.collect()} == {1: "page", 2: "page", 4: "", 5: "fin"}
+    assert {r.id: r._folded for r in text.folded_text(df, "t").collect()} == {1: " page ", 2: "page", 3: "", 4: "", 5: "fin"}
+    assert "Union" not in plan._jdf.queryExecution().toString()
