@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.session import settle
+
 HEAVY_SHARE = 0.01
 SALTS = 32
 BUCKETS = 1024
+MOST = 1.7976931348623157e308  # the greatest finite double
 
 
 def heavy_keys(counts: DataFrame, key: str, rows: str, share: float = HEAVY_SHARE) -> DataFrame:
@@ -72,38 +75,39 @@ def per_key(pairs: DataFrame, key: str, value: str) -> DataFrame:
 def percentiles(pairs: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
     """(key, share, value): the least value at or below which at least `share` of the key's rows lie, exact.
 
-    Works on compressed pairs of numbers. Each key's values are split into at most 1024 ranges between its extremes;
-    running sums over ranges find the one that holds the wanted row, and only its values are ordered. Null values
-    (and NaN) are left out; a key without any number has no rows. Infinite values are put into the outer ranges.
+    Works on compressed pairs of numbers. The range that holds the wanted row is split into at most 1024 parts, whose
+    sums are combined before the shuffle; running sums find the part that holds it, and this part, between the least
+    and greatest value that it has, is the next range, until one value is left. The first split is even by order of
+    magnitude, so that outliers don't leave all other values in one part. Nothing is ever sorted but a key's parts. Null
+    values (and NaN) are left out; a key without any number has no rows. Infinite values are parts of their own.
     """
     number = F.col(value).cast("double")
-    rows = pairs.where(F.col(value).isNotNull() & ~F.isnan(number) & F.col(key).isNotNull()).select(key, value, "freq", number.alias("_x"))
-    finite = F.abs(F.col("_x")) != F.lit(float("inf"))
-    ends = rows.groupBy(key).agg(
-        F.min(F.when(finite, F.col("_x"))).alias("_lo"), F.max(F.when(finite, F.col("_x"))).alias("_hi"), F.sum("freq").alias("_n")
-    )
-    heavy = heavy_keys(ends, key, "_n")
-    width = (F.col("_hi") / BUCKETS - F.col("_lo") / BUCKETS)
-    place = (
-        F.when(~finite, F.when(F.col("_x") < 0, F.lit(-1)).otherwise(BUCKETS + 1))
-        .when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(BUCKETS)))
-        .otherwise(0)
-    )
-    placed = salted_join(rows, ends, key, heavy).withColumn("_b", place.cast("int"))
-    ranges = placed.groupBy(key, "_b").agg(F.sum("freq").alias("_f"), F.first("_n").alias("_n"))
-    running = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
-    found = (
-        ranges.withColumn("_to", F.sum("_f").over(running))
-        .withColumn("share", wanted)
-        .withColumn("_at", F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("_n") - 1e-9)))
-        .where((F.col("_at") <= F.col("_to")) & (F.col("_at") > F.col("_to") - F.col("_f")))
-        .select(key, "_b", "share", (F.col("_at") - (F.col("_to") - F.col("_f"))).alias("_at"))
-    )
-    inside = placed.select(key, "_b", value, "freq").join(found, [key, "_b"])
-    within = Window.partitionBy(key, "_b", "share").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cut = inside.withColumn("_to", F.sum("freq").over(within)).where(F.col("_to") >= F.col("_at"))
-    return cut.groupBy(key, "share").agg(F.min(value).alias("value"))
+    rows = settle(pairs.where(F.col(value).isNotNull() & ~F.isnan(number) & F.col(key).isNotNull()).select(key, value, "freq"))
+    sizes = rows.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("freq").alias("_n"))
+    heavy = settle(heavy_keys(sizes, key, "_n"))
+    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    state = sizes.select(key, "_lo", "_hi", "_n", wanted)
+    state = settle(state.select(key, "share", "_lo", "_hi", F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("_n") - 1e-9)).cast("long").alias("_at")))
+    finite = lambda c: F.abs(c) != F.lit(float("inf"))
+    turn = 0
+    while not state.where(F.col("_lo") != F.col("_hi")).isEmpty():
+        scale = F.asinh if turn % 2 == 0 else (lambda c: c)
+        open_ = state.where(F.col("_lo") != F.col("_hi")).groupBy(key).agg(F.collect_list(F.struct("share", "_lo", "_hi", "_at")).alias("_s"))
+        each = salted_join(rows, open_, key, heavy).select(key, value, "freq", F.explode("_s").alias("_s"))
+        each = each.where((F.col(value) >= F.col("_s._lo")) & (F.col(value) <= F.col("_s._hi")))
+        x, lo, hi = number, F.col("_s._lo").cast("double"), F.col("_s._hi").cast("double")
+        least, most = F.when(finite(lo), lo).otherwise(-MOST), F.when(finite(hi), hi).otherwise(MOST)
+        width = scale(most) / BUCKETS - scale(least) / BUCKETS
+        place = F.when(~finite(x), F.when(x < 0, F.lit(-1)).otherwise(BUCKETS + 1)).when(width > 0, F.greatest(F.lit(0), F.least(F.floor(scale(x) / width - scale(least) / width), F.lit(BUCKETS)))).otherwise(0)
+        parts = each.groupBy(key, F.col("_s.share").alias("share"), place.cast("int").alias("_b")).agg(
+            F.sum("freq").alias("_f"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("_s._at").alias("_at")
+        )
+        running = Window.partitionBy(key, "share").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        held = parts.withColumn("_to", F.sum("_f").over(running)).where((F.col("_at") <= F.col("_to")) & (F.col("_at") > F.col("_to") - F.col("_f")))
+        found = held.select(key, "share", "_lo", "_hi", (F.col("_at") - (F.col("_to") - F.col("_f"))).alias("_at"))
+        state = settle(state.where(F.col("_lo") == F.col("_hi")).unionByName(found))
+        turn += 1
+    return state.select(key, "share", F.col("_lo").alias("value"))
 
 
 def named_heavy(per_key_rows: DataFrame, key: str, size: str, share: float, field: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import index
+from corvane.operators.crawl import dense_ids
 from corvane.plans.registry import NARROW, NUM_PAGES, POSTS, WIDE, query
 from corvane.session import settle, spread
 from corvane.sources.tables import clean_postings, current_pages, table
@@ -85,13 +86,14 @@ def doc_norm_snapshot(spark, where):
 
 @query(
     "doc_norm_incremental",
-    f"""WITH {TOKENS}, s AS (SELECT doc_id AS page_id, doc_id AS seq FROM documents),
+    f"""WITH {TOKENS}, s AS (SELECT doc_id AS page_id, row_number() OVER (ORDER BY fetched_at ASC NULLS FIRST, doc_id) AS seq FROM documents),
     r AS (SELECT page_id, tf, row_number() OVER (PARTITION BY term ORDER BY seq) AS df, greatest(seq - 1, 1)::DOUBLE AS n FROM post JOIN s USING (page_id))
     SELECT page_id, round(sqrt(sum(pow((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 2))), 6) AS norm FROM r GROUP BY 1""",
 )
 def doc_norm_incremental(spark, where):
-    """doc_id runs from 1 without gaps, so that it is the sequence number itself."""
-    seq = docs(spark, where).select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("seq"))
+    """Documents indexed in the order in which they were fetched, those without a time first."""
+    numbered = dense_ids(docs(spark, where).select("doc_id", "fetched_at"), ["fetched_at", "doc_id"], F.lit(1))
+    seq = numbered.select(F.col("doc_id").alias("page_id"), F.col("id").alias("seq"))
     return index.norms_incremental(postings_of(spark, where), seq).select("page_id", F.round("norm", 6).alias("norm"))
 
 

@@ -59,3 +59,18 @@ def test_empty_and_named(spark):
     assert [(r.field, r.key_value) for r in named] == [("f", "hot")]
     exact = spark.createDataFrame([("a", 25), ("b", 975)], "k string, n int")
     assert skew.named_heavy(exact, "k", "n", 0.025, "f").count() == 2
+
+
+def test_percentiles_among_outliers(spark):
+    """Values that a single even split leaves together, extremes of doubles, and infinite ones."""
+    rng = random.Random(3)
+    values = [rng.random() * 10 ** rng.randrange(-9, 9) for _ in range(3000)] + [1e300, -1e300, 5e-324, float("inf"), -float("inf"), 0.0]
+    rows = [("a", v, rng.randrange(1, 4)) for v in values] + [("b", v, 1) for v in values[:50]] + [("c", 7.0, 5), ("d", None, 1), ("d", float("nan"), 2)]
+    df = spark.createDataFrame(rows, "k string, v double, freq long")
+    shares = [0.0, 0.01, 0.5, 0.95, 1.0]
+    got = {(r.k, r.share): r.value for r in skew.percentiles(df, "k", "v", shares).collect()}
+    for k in "abc":
+        ordered = sorted(v for who, v, f in rows if who == k for _ in range(f))
+        for s in shares:
+            assert got[k, s] == ordered[max(1, math.ceil(s * len(ordered) - 1e-9)) - 1], (k, s)
+    assert len(got) == 15
