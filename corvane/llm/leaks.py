@@ -37,8 +37,8 @@ BLOCK = 16  # items of a block
 K1, B = 1.2, 0.75
 SHARED_WORDS = 10  # a sequence of so many words that stands in several items is nobody's own
 MIN_WORDS, ONE_IN = 15, 8
-#: A passage must hold so many runs of so many words that no other item has: phrases that several items use are nobody's own.
-OWN_RUN, OWN_RUNS = 4, 2
+#: A document's passage must hold so many runs of so many words, unaltered, that no other item has: phrases that several items use are nobody's own.
+OWN_RUN, OWN_RUNS = 3, 2
 #: A passage of fifteen words or more with c altered ones, at most one in eight, has c + 1 exact runs: the longest has at least five words.
 RUN_WORDS = 5
 REACH = 60  # characters between two links of a chain
@@ -181,8 +181,7 @@ class ItemIndex:
             own = np.ones(len(words), bool)
             for j in np.flatnonzero(np.isin(run_hashes(words, SHARED_WORDS), shared)).tolist():
                 own[j : j + SHARED_WORDS] = False
-            alone = ~np.isin(run_hashes(words, OWN_RUN), shared)
-            self.alone.append(np.concatenate([[0], np.cumsum(alone)]))  # runs of its own before each word
+            self.alone.append((~np.isin(run_hashes(words, OWN_RUN), shared)).tolist())  # whether the run from each word on is its own
             ends = np.cumsum([len(w) for w in words]).tolist() if words else []
             self.words.append([(b - len(w), b) for b, w in zip(ends, words)])
             self.starts.append([a for a, _ in self.words[-1]])
@@ -503,10 +502,18 @@ class ItemIndex:
                 c = 1.0
             cost.append(c if own[k] else float("inf"))
 
-        def whole(i: int, j: int, total: float) -> bool:
-            if j - i + 1 < MIN_WORDS or total * ONE_IN > j - i + 1:
-                return False
-            return bool(self.alone[item][j - OWN_RUN + 2] - self.alone[item][i] >= OWN_RUNS)
+        def owned(i: int, j: int, lo: int, hi: int) -> bool:
+            """Whether enough of the item's own runs among the words i to j stand in z between lo and hi."""
+            text, held = z[max(0, lo) : max(0, hi)], 0
+            for k in range(i, j - OWN_RUN + 2):
+                if self.alone[item][k] and stream[words[k][0] : words[k + OWN_RUN - 1][1]] in text:
+                    held += 1
+                    if held == OWN_RUNS:
+                        return True
+            return False
+
+        def whole(i: int, j: int, total: float, lo: int, hi: int) -> bool:
+            return j - i + 1 >= MIN_WORDS and total * ONE_IN <= j - i + 1 and owned(i, j, lo, hi)
 
         for i in (k for k in range(first, last + 1) if k in where):
             total = 0.0
@@ -514,7 +521,7 @@ class ItemIndex:
                 total += cost[j - first] if j > i or cost[j - first] == float("inf") else 0
                 if total == float("inf"):
                     break
-                if j in where and whole(i, j, total):
+                if j in where and whole(i, j, total, where[i], where[j] + words[j][1] - words[j][0]):
                     return True
         # else word by word from each link on, in both directions
         most, before = len(words) // ONE_IN, (-1, -1)
@@ -525,7 +532,10 @@ class ItemIndex:
             before, p = (k, d - s), d + words[k][0] - s
             right = self._beyond(z, breaks(), item, k, p, 1, most)
             left = self._beyond(z, breaks(), item, k - 1, p, -1, most) | {k: 0}
-            if own[k] and any(whole(i, j, a + b) for i, a in left.items() for j, b in right.items()):
+            near = 3 * JOINED  # how far altered and added words may move the passage's ends
+            if own[k] and any(
+                whole(i, j, a + b, d - s + words[i][0] - near, d - s + words[j][1] + near) for i, a in left.items() for j, b in right.items()
+            ):
                 return True
         return False
 

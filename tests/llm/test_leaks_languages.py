@@ -133,6 +133,18 @@ def test_items_in_parts(spark):
     assert whole == parts == [(k, k) for k in range(40)]
 
 
+def test_phrases_of_several_items_are_nobodys_own():
+    """Shared phrases with an item's own names between them: a document that holds the phrases without the names leaks nothing."""
+    rng = random.Random(12)
+    phrases = ["in spite of the many errors", "for the visitors from the north", "until the end of the month", "the new index compares every entry", "during the night between two meetings"]
+    items = [(i, " ".join(f"{rng.choice(phrases)} {name()}" for _ in range(8))) for i in range(40)]
+    index = leaks.ItemIndex(items)
+    for i in range(10):
+        words = items[i][1].split()
+        assert ids(index, " ".join(w for w in words if w.islower())) == set()
+        assert ids(index, items[i][1]) == {i}
+
+
 def test_least_scores_bound_real_passages(index):
     """Every passage of 15 words with one altered reaches the score that retrieval asks for."""
     for i in range(10):
