@@ -21,6 +21,7 @@ def resolve_links(links: DataFrame, pages: DataFrame, late: bool = True) -> Data
     once = links.dropDuplicates(["src_page_id", "dst_url"])
     if not late:
         return once
+    once = settle(once)  # read for the heavy targets and for the join
     known = pages.select(F.col("url").alias("dst_url"), F.col("id").alias("_dst")).groupBy("dst_url").agg(F.min("_dst").alias("_dst"))
     heavy = heavy_keys(once.groupBy("dst_url").agg(F.count("*").alias("n")), "dst_url", "n")
     joined = salted_join(once, known, "dst_url", heavy, "left")
@@ -34,9 +35,10 @@ def graph_nodes(pages: DataFrame) -> DataFrame:
 def graph_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst) of links whose ends are both nodes; parallel ones and loops stay. Heavy ends are salted."""
     edges = links.where(F.col("dst_page_id").isNotNull()).select(F.col("src_page_id").alias("src"), F.col("dst_page_id").alias("dst"))
+    edges, ids = settle(edges), settle(nodes.select("id").distinct())  # two numbers a row and one, each read several times
+    heavy = {end: heavy_keys(edges.groupBy(end).agg(F.count("*").alias("n")), end, "n") for end in ("src", "dst")}
     for end in ("src", "dst"):
-        heavy = heavy_keys(edges.groupBy(end).agg(F.count("*").alias("n")), end, "n")
-        edges = salted_join(edges, nodes.select(F.col("id").alias(end)).distinct(), end, heavy)
+        edges = salted_join(edges, ids.withColumnRenamed("id", end), end, heavy[end])
     return edges.select("src", "dst")
 
 
