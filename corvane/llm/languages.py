@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -36,7 +37,12 @@ WHOLE = 0.7  # of a sentence's words: the others may be names
 WORD_EVIDENCE = 6.0  # least mean evidence of a word: below it, words are names, signs or code
 DENSE_EVIDENCE = 0.5  # the same for two letters of a script without spaces
 SWITCH, SWITCH_AT_SENTENCE = 9.0, 4.0  # cost of a change of language, in units of one n-gram of first rank
+CONFIDENT = 0.04  # least confidence of a short sentence: of some words, 2 % of evidence are about 4 % of distance
 REMEMBERED = 400_000
+REMEMBERED_CHARS = 40  # longer tokens, of scripts without spaces, hardly come again
+GRAM_BITS = 13  # 16 profiles of 500 n-grams are numbered within them
+BLOCK = 1 << 16  # n-grams that distances are taken of at once
+WORDS_AT_ONCE = 1 << 12  # that are searched for changes at once
 
 # Code, codes of three letters, English name.
 LANGUAGES = """
@@ -111,6 +117,19 @@ class _Numbers(dict):
         return at
 
 
+class _Tokens(dict):
+    """Numbers of tokens, the runs of signs between white space."""
+
+    def __init__(self, owner: Profiles):
+        self.owner = owner
+
+    def __missing__(self, token: str) -> int:
+        at = self.owner.add_token(token)
+        if len(token) <= REMEMBERED_CHARS:
+            self[token] = at
+        return at
+
+
 class Profiles:
     """Rank-order profiles of the languages, and the distances of words and texts to them."""
 
@@ -150,21 +169,40 @@ class Profiles:
     def forget(self):
         """Words met so far get numbers, under which their length, n-grams and evidence are kept."""
         self.numbers = _Numbers(self)
-        self.size: list[int] = []
+        self.size = array("i")
         self.vectors = np.zeros((1024, len(self.codes)), np.float32)  # a row per word, with room to grow
-        self.grams: list[np.ndarray] = []
+        self.grams, self.gram_edge = np.zeros(0, np.int16), np.zeros(1, np.int64)  # word i has those from edge i to edge i + 1
         self.waiting: list[str] = []
+        self.tokens = _Tokens(self)
+        self.token_items, self.token_edge = array("i", [-1]), array("i", [0, 1])  # token 0 is the end of a line
 
     def add(self, word: str) -> int:
         self.size.append(len(word))
         self.waiting.append(word)
         return len(self.size) - 1
 
+    def add_token(self, token: str) -> int:
+        """A token's items are the numbers of its words, and -1 where a sentence ends."""
+        at, number, find = 0, self.numbers.__getitem__, _WORD.findall
+        for m in _END.finditer(token):
+            self.token_items.extend(map(number, find(token, at, at := m.end())))
+            self.token_items.append(-1)
+        self.token_items.extend(map(number, find(token, at)))
+        self.token_edge.append(len(self.token_items))
+        return len(self.token_edge) - 2
+
+    def items_of(self, tokens: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The items of tokens laid end to end, and where each token's items end."""
+        at, edge = np.array(tokens, np.int64), np.array(self.token_edge, np.int64)
+        first, n = edge[at], edge[at + 1] - edge[at]
+        ends = np.cumsum(n)
+        return np.array(self.token_items)[np.arange(ends[-1]) + np.repeat(first - ends + n, n)], ends
+
     def settle_words(self) -> None:
         """Looks up the n-grams of the words met since the last time, all at once."""
         if not self.waiting:
             return
-        words, at = [w if w.isascii() else unicodedata.normalize("NFKC", w) for w in self.waiting], len(self.grams)
+        words, at = [w if w.isascii() else unicodedata.normalize("NFKC", w) for w in self.waiting], len(self.gram_edge) - 1
         self.waiting = []
         dense = [k for k, w in enumerate(words) if not w.isascii() and _DENSE.search(w)]
         skipped = set(dense)
@@ -185,7 +223,8 @@ class Profiles:
         order = np.argsort(who, kind="stable")
         who, rows = who[order], rows[order]
         edge = np.searchsorted(who, np.arange(len(words) + 1))
-        self.grams += [rows[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        self.gram_edge = np.concatenate([self.gram_edge, self.gram_edge[-1] + edge[1:]])
+        self.grams = np.concatenate([self.grams, rows.astype(np.int16)])
         if at + len(words) > len(self.vectors):
             room = np.zeros((max(2 * len(self.vectors), at + len(words)), len(self.codes)), np.float32)
             room[:at] = self.vectors[:at]
@@ -200,33 +239,42 @@ class Profiles:
         out = np.full((len(sizes), len(self.codes)), float(PROFILE))
         if not len(numbers) or not self.codes:
             return out
-        words, inverse = np.unique(numbers, return_inverse=True)
-        held = [self.grams[i] for i in words]
-        width = np.array([len(g) for g in held])
-        flat, first = np.concatenate(held), np.cumsum(width) - width
-        n = width[inverse]
-        ends = np.cumsum(n)
-        gram = flat[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[inverse], n)]
-        text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n)
-        key = np.sort(text * len(self.ranks) + gram)
-        if not len(key):
-            return out
-        start = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        count = np.diff(np.append(start, len(key)))
-        text, gram = key[start] // len(self.ranks), key[start] % len(self.ranks)
-        order = np.argsort(text * (len(key) + 1) + (len(key) - count), kind="stable")  # by frequency within each text
-        text, gram, count = text[order], gram[order], count[order]
-        begin = np.searchsorted(text, np.arange(len(sizes)))
-        fresh = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(count) != 0)])
-        rank = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] - begin[text]  # equally frequent ones share the first rank
-        keep = np.arange(len(text)) - begin[text] < TEXT_PROFILE
+        first = self.gram_edge[numbers]
+        width = self.gram_edge[numbers + 1] - first
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        total = np.concatenate([[0], np.cumsum(width)])[edge]
+        lo = 0
+        while lo < len(sizes):
+            hi = max(lo + 1, min(int(np.searchsorted(total, total[lo] + BLOCK, "right")) - 1, lo + BLOCK))
+            if total[hi] > total[lo]:
+                words = slice(edge[lo], edge[hi])
+                self._distances(first[words], width[words], np.diff(total[lo : hi + 1]), out[lo:hi])
+            lo = hi
+        return out
+
+    def _distances(self, first: np.ndarray, width: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
+        """distances of some texts; first, width: where the n-grams of each word are and how many; sizes: those of each text."""
+        ends, low = np.cumsum(width), (1 << GRAM_BITS) - 1
+        gram = self.grams[np.arange(ends[-1]) + np.repeat(first - ends + width, width)]
+        key = np.repeat(np.arange(len(sizes), dtype=np.int32) << GRAM_BITS, sizes) + gram
+        key.sort()
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count, key = np.diff(start, append=len(key)), key[start].astype(np.int64)
+        bits = int(count.max()).bit_length()
+        key = (key >> GRAM_BITS << bits | (1 << bits) - 1 - count) << GRAM_BITS | key & low
+        key.sort()  # by frequency within each text
+        gram, level = key & low, key >> GRAM_BITS
+        text = level >> bits
+        begin = np.searchsorted(text, np.arange(len(sizes)))[text]
+        fresh = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
+        rank = np.repeat(fresh, np.diff(fresh, append=len(level))) - begin  # equally frequent ones share the first rank
+        keep = np.arange(len(text)) - begin < TEXT_PROFILE
         text, gram, rank = text[keep], gram[keep], rank[keep]
-        away = self.places[gram]
-        away -= rank[:, None].astype(np.int16)
+        away = self.places.take(gram, 0)
+        away -= rank.astype(np.int16)[:, None]
         np.minimum(np.abs(away, out=away), PROFILE, out=away)
-        edge = np.flatnonzero(np.diff(text, prepend=-1))
-        out[text[edge]] = np.add.reduceat(away, edge, axis=0, dtype=np.int32) / np.diff(np.append(edge, len(text)))[:, None]
-        return out
+        edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        out[text[edge]] = np.add.reduceat(away, edge, axis=0, dtype=np.int32) / np.diff(edge, append=len(text))[:, None]
 
 
 def paths(costs: list[np.ndarray], switch: list[np.ndarray]) -> list[np.ndarray]:
@@ -260,55 +308,80 @@ def paths(costs: list[np.ndarray], switch: list[np.ndarray]) -> list[np.ndarray]
     return out
 
 
+def may_change(near: np.ndarray, main: np.ndarray, start: np.ndarray, owner: np.ndarray, switch: np.ndarray) -> np.ndarray:
+    """The paragraphs whose path of least cost may leave the text's language.
+
+    A path that does so has a run of words in another language, which gains more than half of the changes at its ends cost:
+    each change ends two runs at most, and the ends of the paragraph cost nothing. All other paragraphs stay as they are.
+    """
+    half = switch / 2
+    half[start] = 0
+    out, ends, lo = [], np.append(start[1:], len(near)), 0
+    while lo < len(start):  # in parts that fit into caches
+        hi = max(lo + 1, int(np.searchsorted(ends, start[lo] + WORDS_AT_ONCE, "right")))
+        words, first, k = slice(start[lo], ends[hi - 1]), start[lo:hi] - start[lo], main[owner[start[lo] : ends[hi - 1]]]
+        gain, each = near[words].astype(np.float64), np.arange(len(k))
+        gain -= gain[each, k][:, None]
+        gain[each, k] = -1  # the text's language itself
+        upto = np.cumsum(gain, axis=0)
+        lower = np.zeros((hi - lo, gain.shape[1]))
+        lower[1:] = upto[first[1:] - 1]
+        lower += np.arange(hi - lo)[:, None] * 3 * (np.abs(upto).max() + SWITCH)  # sums start again, below all that went before
+        upto -= lower[owner[words] - lo]
+        gain -= half[words, None]
+        least = np.minimum.accumulate(np.subtract(upto, gain, out=gain), axis=0, out=gain)
+        upto -= least
+        best = upto.max(1) - np.append(half[words][1:], 0)
+        out.append(lo + np.flatnonzero(np.maximum.reduceat(best, first) > -1e-3))
+        lo = hi
+    return np.concatenate(out)
+
+
+def words_of(code: str, n: int, letters: int) -> int:
+    """Words of a segment: two letters of a script without spaces count as one, and so do its characters and pairs."""
+    return max(n, letters // 2) if code in ("ja", "zh") else n
+
+
 def segments_of(texts: list[str | None], own: Profiles) -> tuple[list[list[tuple]], np.ndarray]:
     """For each text its segments (para_no, code, n_words, is_sentence, evidence, confidence, first word, end), in order, as the path cuts them; and the words' numbers."""
-    if len(own.numbers) > REMEMBERED:
+    if max(len(own.numbers), len(own.token_edge)) > REMEMBERED:
         own.forget()
-    numbers, sizes, para, where = [], [], [], []  # sizes: words of each sentence
-    number, find = own.numbers.__getitem__, _WORD.findall
+    tokens, ends, where = [], [], []
+    number = own.tokens.__getitem__
     for k, text in enumerate(texts):
         for p, part in enumerate(text.split("\n\n") if text else ()):
-            began = len(numbers)
             if "://" in part or "@" in part or "www." in part:
                 part = _ADDRESS.sub(" ", part)
-            at = 0
-            for m in _END.finditer(part):
-                words = find(part, at, at := m.end())
-                numbers += map(number, words)
-                sizes.append(len(words))
-            words = find(part, at)
-            numbers += map(number, words)
-            sizes.append(len(words))
-            if len(numbers) > began:
-                para.append(began)
-                where.append((k, p))
+            for line in part.split("\n"):
+                tokens += map(number, line.split())
+                tokens.append(0)
+            ends.append(len(tokens))
+            where.append((k, p))
     out: list[list[tuple]] = [[] for _ in texts]
-    if not numbers or not own.codes:
+    if not tokens or not own.numbers or not own.codes:
         return out, np.zeros(0, int)
-    num, sent, start = np.array(numbers), np.repeat(np.arange(len(sizes)), sizes), np.array(para)
+    items, stops = own.items_of(tokens)
+    real = items >= 0
+    length = np.diff(np.cumsum(real)[stops[np.array(ends) - 1] - 1], prepend=0)
+    if not length.any():
+        return out, np.zeros(0, int)
+    where = [where[i] for i in np.flatnonzero(length)]
+    num, sent, length = items[real].astype(np.int64), np.cumsum(~real)[real], length[length > 0]
+    start = np.cumsum(length) - length
     own.settle_words()
     near = own.vectors[num]  # of each word
-    length = np.diff(np.append(start, len(num)))
     owner = np.repeat(np.arange(len(start)), length)
     text_of = np.array([k for k, _ in where])
     by_para = np.add.reduceat(near, start, axis=0)
     by_text = np.zeros((len(texts), near.shape[1]), np.float32)
     np.add.at(by_text, text_of, by_para)
     main = by_text.argmax(1)
-    # paragraphs in which some window or sentence is nearer to another language than to the text's
     mine = main[text_of[owner]]
-    gain = near - near[np.arange(len(num)), mine][:, None]
-    three = gain[:-2] + gain[1:-1] + gain[2:] if len(num) > 2 else gain[:0]
-    seven = three[:-4] + three[3:-1] + gain[6:] if len(num) > 6 else gain[:0]
-    flagged = np.zeros(len(start), bool)
-    for width, w in ((3, three), (PASSAGE_WORDS, seven)):
-        same = owner[width - 1 :] == owner[: len(w)]
-        flagged[owner[: len(w)][same & (w.max(1, initial=0) > SWITCH_AT_SENTENCE)]] = True
-    flagged |= (length < 3) | (by_para.argmax(1) != main[text_of])
     fresh = np.concatenate([[True], np.diff(sent) != 0])
-    todo = np.flatnonzero(flagged)
+    switch = np.where(fresh, SWITCH_AT_SENTENCE, SWITCH)
+    todo = may_change(near, main[text_of], start, owner, switch)
     spans = [slice(start[i], start[i] + length[i]) for i in todo]
-    found = paths([-near[s] for s in spans], [np.where(fresh[s], SWITCH_AT_SENTENCE, SWITCH) for s in spans])
+    found = paths([-near[s] for s in spans], [switch[s] for s in spans])
     state = mine.copy()
     for s, path in zip(spans, found):
         state[s] = path
@@ -316,19 +389,19 @@ def segments_of(texts: list[str | None], own: Profiles) -> tuple[list[list[tuple
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(state) != 0) | (np.diff(owner) != 0)]))
     stop = np.append(edge[1:], len(num))
     weight = np.add.reduceat(near, edge, axis=0)
-    held, opens = np.bincount(sent), np.searchsorted(sent, np.arange(int(sent[-1]) + 1))
-    bests = weight[np.arange(len(edge)), state[edge]]
-    weight[np.arange(len(edge)), state[edge]] = 0
-    rests = weight.max(1)
-    for a, b, best, rest in zip(edge.tolist(), stop.tolist(), bests.tolist(), rests.tolist()):
-        k, p = where[owner[a]]
-        i, j = int(sent[a]), int(sent[b - 1])
-        within = [min(b, opens[x] + held[x]) - max(a, opens[x]) >= WHOLE * held[x] for x in (i, j)]
-        whole = any(within) or bool((held[i + 1 : j] > 0).any())
-        share = max(0.0, min(1.0, (best - rest) / best)) if best > 0 else 0.0
-        # two letters of a script without spaces count as a word, and so do its characters and pairs
-        n = b - a if own.codes[state[a]] not in ("ja", "zh") else max(b - a, sum(own.size[i] for i in num[a:b]) // 2)
-        out[k].append((p, own.codes[state[a]], int(n), bool(whole), best, share, a, b))
+    sent = np.cumsum(fresh) - 1
+    held, opens = np.bincount(sent), np.flatnonzero(fresh)
+    i, j = sent[edge], sent[stop - 1]
+    within = (np.minimum(stop, opens[i] + held[i]) - edge >= WHOLE * held[i]) | (stop - np.maximum(edge, opens[j]) >= WHOLE * held[j])
+    whole = within | (j > i + 1)
+    code = state[edge]
+    best = weight[np.arange(len(edge)), code]
+    weight[np.arange(len(edge)), code] = 0
+    share = np.where(best > 0, np.clip((best - weight.max(1)) / np.where(best > 0, best, 1), 0, 1), 0)
+    size = np.add.reduceat(np.array(own.size)[num], edge)
+    for x in zip(owner[edge].tolist(), code.tolist(), whole.tolist(), best.tolist(), share.tolist(), edge.tolist(), stop.tolist(), size.tolist()):
+        k, p = where[x[0]]
+        out[k].append((p, own.codes[x[1]], words_of(own.codes[x[1]], x[6] - x[5], x[7]), *x[2:7]))
     return out, num
 
 
@@ -344,50 +417,49 @@ def by_rank(segments: list[list[tuple]], num: np.ndarray, own: Profiles) -> list
     d = own.distances(words, np.array([b - a for a, b in spans]))
     two = np.sort(d, axis=1)[:, :2]
     sure = np.where(two[:, -1] > 0, 1 - two[:, 0] / np.maximum(two[:, -1], 1e-9), 0.0) if d.shape[1] > 1 else np.ones(len(d))
-    out, k = [], 0
+    at = {code: i for i, code in enumerate(own.codes)}
+    path = np.array([at[s[1]] for part in segments for s in part])
+    named = np.where(d[np.arange(len(d)), path] <= two[:, 0], path, d.argmin(1)).tolist()
+    out, k, sure = [], 0, sure.tolist()
     for part in segments:
         new = []
-        for s in part:
-            code = s[1] if d[k, own.codes.index(s[1])] <= two[k, 0] else own.codes[int(d[k].argmin())]
-            best = s[4]
-            if code != s[1]:
-                best = float(own.vectors[num[s[6] : s[7]], own.codes.index(code)].sum())
-            new.append((s[0], code, s[2], s[3], best, float(sure[k]), s[6], s[7]))
+        for p, code, n, whole, best, _, a, b in part:
+            if at[code] != named[k]:
+                code = own.codes[named[k]]
+                best = float(own.vectors[num[a:b], named[k]].sum())
+                n = words_of(code, b - a, sum(own.size[i] for i in num[a:b]))
+            new.append((p, code, n, whole, best, sure[k], a, b))
             k += 1
         out.append(new)
     return out
 
 
 def judged(texts: list[str | None], labels: list[str | None], own: Profiles) -> list[tuple[str | None, set[tuple[int, str]]]]:
-    """rows_of_text of each text; the segments of texts that the path takes for cases are judged by rank."""
-    segments, num = segments_of(texts, own)
-    out = [rows_of_text(s, label) for s, label in zip(segments, labels)]
-    cases = [k for k, (_, rows) in enumerate(out) if rows]
-    for k, part in zip(cases, by_rank([segments[k] for k in cases], num, own)):
-        out[k] = rows_of_text(part, labels[k])
-    return out
+    """rows_of_text of each text, from the languages and confidences that the ranks of all its segments say."""
+    return [rows_of_text(part, label) for part, label in zip(by_rank(*segments_of(texts, own), own), labels)]
 
 
 def rows_of_text(segments: list[tuple], label: str | None) -> tuple[str | None, set[tuple[int, str]]]:
     """The main language, and the rows (para_no, code) if the label or a mixture makes the text a case."""
     words: Counter = Counter()
     whole: set[str] = set()
-    shown: set[tuple[int, str]] = set()
+    shown: set[tuple[int, str, bool]] = set()
+    parts = Counter(s[0] for s in segments)
     for p, code, n, sentence, best, share, _, _ in segments:
         if best < (DENSE_EVIDENCE if code in ("ja", "zh") else WORD_EVIDENCE) * n:
             continue
         words[code] += n
-        strong = share > 0.02 or n >= PASSAGE_WORDS
+        strong = share > CONFIDENT or n >= PASSAGE_WORDS
         if sentence and n >= 3 and strong:
             whole.add(code)
         if (sentence and strong) or n >= FOUND_WORDS:
-            shown.add((p, code))
+            shown.add((p, code, n >= 3 or parts[p] == 1))  # a word or two amid a paragraph are borrowed, if not in the text's language
     if not words or not (whole or max(words.values()) >= PASSAGE_WORDS):
         return None, set()
     main = max(words, key=lambda c: (words[c], c))
     if code_of(label) == main and len(whole) < 2:
         return main, set()
-    return main, {(p, c) for p, c in shown if c == main or c in whole or words[c] >= FOUND_WORDS}
+    return main, {(p, c) for p, c, own in shown if c == main or own and (c in whole or words[c] >= FOUND_WORDS)}
 
 
 def fit_profiles(docs: DataFrame, text: str, label: str, key: str) -> Profiles:

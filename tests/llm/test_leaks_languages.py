@@ -222,6 +222,76 @@ def test_segments_are_named_by_their_distance(own, monkeypatch):
     assert languages.by_rank([[]], num, own) == [[]]
 
 
+def test_texts_that_the_path_takes_for_no_cases_are_judged_by_rank(own, monkeypatch):
+    """Where the path agrees with a wrong label, or sees one language only, the ranks still decide."""
+    rng = random.Random(19)
+    cut = languages.segments_of
+
+    def misled(texts, own):
+        segments, num = cut(texts, own)
+        return [[(s[0], "de", *s[2:]) for s in part] for part in segments], num
+
+    monkeypatch.setattr(languages, "segments_of", misled)
+    en, de, fr = (say(code, rng, 20) for code in ("en", "de", "fr"))
+    got = languages.judged([en, f"{de}\n\n{fr}", de, None], ["de", "German", "de", "de"], own)
+    assert got == [("en", {(0, "en")}), (got[1][0], {(0, "de"), (1, "fr")}), ("de", set()), (None, set())]
+
+
+def test_short_sentences_need_confidence():
+    """A borrowed phrase between quotes is about as near to several languages."""
+    text = (0, "pl", 18, True, 250.0, 0.45, 0, 18)
+    phrase = lambda n, sure: (0, "nl", n, True, 10.0 * n, sure, 18, 18 + n)
+    assert languages.rows_of_text([text, phrase(3, 0.037)], "pl") == ("pl", set())
+    assert languages.rows_of_text([text, phrase(3, 0.2)], "pl") == languages.rows_of_text([text, phrase(7, 0.03)], "pl") == ("pl", {(0, "pl"), (0, "nl")})
+
+
+def test_borrowed_words_amid_a_paragraph():
+    text = [(0, "en", 30, True, 400.0, 0.4, 0, 30), (1, "de", 20, True, 300.0, 0.4, 30, 50)]
+    word = lambda p: (p, "de", 1, True, 18.0, 0.4, 50, 51)
+    assert languages.rows_of_text([*text, word(0)], "en")[1] == {(0, "en"), (1, "de")}
+    assert languages.rows_of_text([*text, word(2)], "en")[1] == {(0, "en"), (1, "de"), (2, "de")}  # a heading
+
+
+def test_no_paragraph_with_a_change_is_left_out(own, monkeypatch):
+    """A sentence of one long word, as in scripts without spaces, and the same segments as with a path through every paragraph."""
+    rng = random.Random(21)
+    assert {s[1] for s in languages.segments_of([say("en", rng) + " المدينة."], own)[0][0]} == {"en", "ar"}
+    codes = [*WORDS, "en", "en"]
+    texts = ["\n\n".join(" ".join(say(rng.choice(codes), rng, rng.choice((1, 2, 3, 12))) for _ in range(rng.randrange(1, 6))) for _ in range(4)) for _ in range(60)]
+    some = languages.segments_of(texts, own)[0]
+    monkeypatch.setattr(languages, "WORDS_AT_ONCE", 7)
+    assert languages.segments_of(texts, own)[0] == some
+    monkeypatch.setattr(languages, "may_change", lambda near, main, start, *_: np.arange(len(start)))
+    assert languages.segments_of(texts, own)[0] == some
+
+
+def test_distances_in_blocks(own, monkeypatch):
+    rng = random.Random(20)
+    texts = [say(rng.choice(list(WORDS)), rng, n).split() for n in (1, 300, 5, 0, 40, 900, 0)]
+    numbers, sizes = np.array([own.numbers[w] for t in texts for w in t]), np.array([len(t) for t in texts])
+    whole = own.distances(numbers, sizes)
+    for block in (1, 500, 5000):
+        monkeypatch.setattr(languages, "BLOCK", block)
+        assert (own.distances(numbers, sizes) == whole).all()
+
+
+def test_tokens_hold_the_words_and_sentences_of_the_text(own):
+    long = "".join(chr(0x4E00 + i) for i in range(60))
+    for text in ("One two。three four！？five… end\nline two. (x) a.b\r\nc", f"{long}。{long} and.\u3000more", "...!!! \n . a", " \t\x1c a.\x85b  c.", "\u201cHi.\u201d they said.  'No!'\tYes", ". . ."):
+        spans, at = [], 0
+        for m in languages._END.finditer(text):
+            spans.append(languages._WORD.findall(text, at, at := m.end()))
+        spans.append(languages._WORD.findall(text, at))
+        tokens = [i for line in text.split("\n") for i in [*map(own.tokens.__getitem__, line.split()), 0]]
+        got, names = [[]], list(own.numbers)
+        for i in own.items_of(tokens)[0].tolist():
+            if i < 0:
+                got.append([])
+            else:
+                got[-1].append(names[i])
+        assert [x for x in got if x] == [x for x in spans if x]
+
+
 def test_cases(own):
     rng = random.Random(8)
     en, de = [say("en", rng) for _ in range(6)], [say("de", rng) for _ in range(6)]
