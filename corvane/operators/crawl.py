@@ -143,9 +143,12 @@ def apply_results(pages: DataFrame, results: DataFrame, now: Column, options: Cr
 
     A success keeps the first crawl time and the retry count; a failure raises the count and is scheduled again or
     given up; a skip leaves the crawl times alone. Pages without a result pass through.
+
+    Results are joined by merge, which can spill: columns computed after a shuffle don't count in the size that an
+    adaptive plan knows, so that it would broadcast narrow rows that are long texts by then.
     """
     new = results.select("id", *[F.col(c).alias(f"_{c}") for c in results.columns if c != "id"])
-    j = pages.join(new, "id", "left")
+    j = pages.join(new.hint("merge"), "id", "left")
     kind, count = F.col("_kind"), F.coalesce("retry_count", F.lit(0)) + 1
     retry = retry_outcome(count, options)
     again = (kind == "failure") & (retry["outcome"] == "retry_scheduled")

@@ -54,6 +54,18 @@ def test_apply_results(spark):
     assert got[3].next_retry_at is None and got[5].last_crawled_at is None and got[6].title is None and got[7].http_status is None
 
 
+def test_results_with_texts_made_after_a_shuffle_are_not_broadcast(spark):
+    p = page_frame(spark, [(i, f"u{i}", "pending") for i in range(1, 8)])
+    results = p.groupBy("id").agg(F.max("status").alias("status")).select(
+        "id", F.lit("failure").alias("kind"), F.lit(500).alias("http_status"), *[F.lit("v").alias(c) for c in ("title", "content_hash", "etag", "last_modified", "minio_key")],
+        F.lit(9).alias("content_length"), F.repeat(F.lit("e"), F.lit(3000)).alias("error"),
+    )
+    after = crawl.apply_results(p, results, now())
+    assert sorted((r.id, r.status, r.retry_count, len(r.error)) for r in after.collect()) == [(i, "pending", 1, 2000) for i in range(1, 8)]
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "Final Plan" in plan and "Broadcast" not in plan.split("Initial Plan")[0]
+
+
 def test_claims(spark):
     p = page_frame(spark, [(1, "a", "crawled"), (2, "b", "crawled"), (3, "c", "pending")])
     p = p.withColumn("next_crawl_at", F.when(F.col("id") == 1, now())).withColumn("next_retry_at", F.when(F.col("id") == 3, now()))
